@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function)
 _WHERE = {
+    "op3_transducer_counts": "tokencount",
     "op6_histogram_sort": "sharding",
     "op9_budgeted_windows": "chat",
 }
