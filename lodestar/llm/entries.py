@@ -7,6 +7,7 @@ import importlib
 #: query name -> (module, function)
 _WHERE = {
     "op3_transducer_counts": "tokencount",
+    "op4_dominance_packing": "packing",
     "op6_histogram_sort": "sharding",
     "op8_agenda_pieces": "pieces",
     "op9_budgeted_windows": "chat",
