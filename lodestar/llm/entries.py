@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op3_transducer_counts": "tokencount",
     "op4_dominance_packing": "packing",
+    "op5_crf_language": "langid",
     "op6_histogram_sort": "sharding",
     "op8_agenda_pieces": "pieces",
     "op9_budgeted_windows": "chat",
