@@ -71,3 +71,9 @@ def words(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often and in whatever lambda
+    ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

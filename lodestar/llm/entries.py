@@ -10,6 +10,7 @@ _WHERE = {
     "op4_dominance_packing": "packing",
     "op5_crf_language": "langid",
     "op6_histogram_sort": "sharding",
+    "op7_decision_list": "quality",
     "op8_agenda_pieces": "pieces",
     "op9_budgeted_windows": "chat",
 }
