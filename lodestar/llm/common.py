@@ -46,6 +46,31 @@ def longs(spark: SparkSession, values: list[int]) -> DataFrame:
     return spark.range(1).select(F.posexplode(F.from_json(F.lit(str([int(v) for v in values])), "array<bigint>")).alias("i", "value"))
 
 
+def small_table(spark: SparkSession, rows: list[list[int]], names: list[str]) -> DataFrame:
+    """A small table of driver-side longs, without Python on executors."""
+    text = str([[int(v) for v in r] for r in rows])
+    one = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<array<bigint>>")).alias("r"))
+    return one.select(*[F.col("r")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _bisect(key: Column, cuts: list[int], lo: int, hi: int) -> Column:
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key < F.lit(cuts[mid]), _bisect(key, cuts, lo, mid)).otherwise(_bisect(key, cuts, mid + 1, hi))
+
+
+def place(key: Column, cuts: list[int], each: int) -> Column:
+    """Number of ascending ``cuts`` at or below ``key``: bisection over every ``each``-th one, then a
+    look through the few between."""
+    outer = cuts[each - 1 :: each]
+    inner = [cuts[s : s + each - 1] for s in range(0, len(cuts) + 1, each)]
+    inner += [[]] * (len(outer) + 1 - len(inner))
+    s = _bisect(key, outer, 0, len(outer))
+    own = F.element_at(F.array(*[F.array(*[F.lit(x) for x in part]).cast("array<long>") for part in inner]), s + 1)
+    return s * each + F.size(F.filter(own, lambda x: x <= key))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names built on ``names`` that ``df`` does not have, so extra columns never clash."""
     have, out = {c.lower() for c in df.columns}, []

@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function)
 _WHERE = {
+    "op1_weighted_sampling": "fingerprint",
     "op10_chosen_path_join": "join",
     "op3_transducer_counts": "tokencount",
     "op4_dominance_packing": "packing",

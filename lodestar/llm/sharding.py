@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, longs, shuffle_partitions, stash
+from .common import documents, fresh, longs, place, shuffle_partitions, stash
 
 SHARDS = 40
 OVERHEAD = 16
@@ -87,14 +87,6 @@ def find_splitters(rows: DataFrame, pieces: int, tolerance: float) -> list[int]:
         active, bits = again, min(64, bits + STEP_BITS)
 
 
-def _tree(key: Column, cuts: list[int], lo: int, hi: int) -> Column:
-    """Number of cuts at or below the key, by bisection."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(cuts[mid]), _tree(key, cuts, lo, mid)).otherwise(_tree(key, cuts, mid + 1, hi))
-
-
 def histogram_sort(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS, tolerance: float = 0.001) -> DataFrame:
     """``df`` with ``shard`` (0 to shards-1) and ``slot`` (from 0, gapless): shards of near equal
     bytes, in key order.  ``tolerance``: of a shard's bytes, as far as single rows allow it."""
@@ -105,22 +97,14 @@ def histogram_sort(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     each = max(1, -(-4 * shuffle_partitions(spark) // shards))
     cuts = find_splitters(narrow, shards * each, tolerance * total / shards)
     k = len(cuts)
-    outer = cuts[each - 1 :: each]
-    inner = [cuts[s * each : s * each + each - 1] for s in range(shards)]
-
-    def place(c: Column) -> Column:
-        s = _tree(c, outer, 0, len(outer))
-        own = F.element_at(F.array(*[F.array(*[F.lit(x) for x in part]).cast("array<long>") for part in inner]), s + 1)
-        return s * each + F.size(F.filter(own, lambda x: x <= c))
-
-    counts = {r[0]: r[1] for r in narrow.groupBy(place(F.col("key")).alias("p")).count().collect()}
+    counts = {r[0]: r[1] for r in narrow.groupBy(place(F.col("key"), cuts, each).alias("p")).count().collect()}
     starts, at = [], 0
     for p in range(k + 1):
         at = 0 if p % each == 0 else at
         starts.append(at)
         at += counts.get(p, 0)
     firsts = longs(spark, starts).toDF(piece, first)
-    moved = df.withColumn(key, sort_key(text, doc_id)).withColumn(piece, place(F.col(f"`{key}`")))
+    moved = df.withColumn(key, sort_key(text, doc_id)).withColumn(piece, place(F.col(f"`{key}`"), cuts, each))
     order = W.partitionBy(f"`{piece}`").orderBy(F.col(f"`{key}`"), F.col(f"`{doc_id}`"))
     return (
         moved.withColumn(tie, F.row_number().over(order))
