@@ -5,7 +5,7 @@ A document's terms are its runs of five words, weighted by how often they occur.
 with t = floor(ln w / r + b) its rank is ln c - r (t - b + 1), and the term of the least rank, with
 its t, is the sample.  Two documents draw the same sample with a probability that is the
 generalised Jaccard similarity of their weighted terms, so the share of equal samples estimates it.
-The gammas come from tables of ``STEPS`` quantiles.
+A gamma is minus the logarithm of the product of two 20-bit uniforms, which are bits of the hash.
 
 Everything is arrays and aggregates: one least number per draw holds the rank in its upper bits and
 24 bits of the sample below.
@@ -25,29 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, let, place, shuffle_partitions, small_table, words
 
-SAMPLES, STEPS, WORDS = 64, 4096, 5
+SAMPLES, WORDS = 64, 5
 ID_BITS = 24
 
 
-def gamma_quantiles(steps: int = STEPS) -> list[float]:
-    """Quantiles of Gamma(2, 1) in the middle of ``steps`` equal steps, by Newton's method."""
-    out, x = [], 1e-3
-    for i in range(steps):
-        p = (i + 0.5) / steps
-        for _ in range(60):
-            d = (1 - math.exp(-x) * (1 + x) - p) / (x * math.exp(-x))
-            x = max(x / 4, x - d)
-            if abs(d) < 1e-12 * x:
-                break
-        out.append(x)
-    return out
-
-
-def _table(values: list[float]) -> Column:
-    """A constant array, in a form that is folded to one literal when the plan is optimised."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
 def terms(text: Column) -> Column:
     """Array of (x: hash, w: weight) of the terms of a text."""
 
@@ -67,18 +48,19 @@ def terms(text: Column) -> Column:
 
 def draws(samples: int = SAMPLES) -> list[Column]:
     """One aggregate a draw over rows (x, lw: log of the weight)."""
-    gamma = gamma_quantiles()
-    r_of, c_of, inverse = _table(gamma), _table([math.log(g) for g in gamma]), _table([1 / g for g in gamma])
-    out = []
+    def uniform(bits: Column, at: int) -> Column:
+        return F.shiftright(bits, at).bitwiseAND(F.lit((1 << 20) - 1)).cast("double") + 0.5
+
+    unit, out = 1.0 / (1 << 20), []
     for k in range(samples):
-        h = F.xxhash64(F.lit(k), F.col("x"))
-        mask = F.lit(STEPS - 1)
-        i, j = h.bitwiseAND(mask).cast("int"), F.shiftright(h, 12).bitwiseAND(mask).cast("int")
-        b = (F.shiftright(h, 24).bitwiseAND(F.lit(0xFFFF)).cast("double") + 0.5) / 65536.0
-        t = F.floor(F.col("lw") * F.get(inverse, i) + b)
-        rank = F.get(c_of, j) - F.get(r_of, i) * (t.cast("double") - b + 1.0)
-        packed = F.shiftleft(((rank + 128.0) * float(1 << 30)).cast("long"), ID_BITS).bitwiseOR(F.col("x").bitwiseXOR(t * 7919).bitwiseAND(F.lit((1 << ID_BITS) - 1)))
-        out.append(F.min(packed).alias(f"d{k}"))
+        g, h = F.xxhash64(F.lit(k), F.col("x")), F.xxhash64(F.col("x"), F.lit(k))
+        r = -F.log(uniform(g, 0) * uniform(g, 20) * (unit * unit))
+        c = F.log(-F.log(uniform(h, 0) * uniform(h, 20) * (unit * unit)))
+        b = uniform(g, 40) * unit
+        t = F.when(F.col("lw") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("lw") / r + b))
+        rank = c - r * (t.cast("double") - b + 1.0)
+        own = F.col("x").bitwiseXOR(t * 7919).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+        out.append(F.min(F.shiftleft(((rank + 128.0) * float(1 << 30)).cast("long"), ID_BITS).bitwiseOR(own)).alias(f"d{k}"))
     return out
 
 
