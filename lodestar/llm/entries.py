@@ -20,7 +20,9 @@ _WHERE = {
 
 
 def queries() -> dict:
-    return {n: getattr(importlib.import_module(f".{m}", __package__), n) for n, m in _WHERE.items()}
+    import corpus_pipeline
+
+    return {n: getattr(importlib.import_module(f".{m}", __package__), n) for n, m in _WHERE.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

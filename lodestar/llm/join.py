@@ -210,7 +210,7 @@ def _rows(out: list[tuple]) -> pd.DataFrame:
 
 def links(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: doc_id, class_id, n_links (different texts that are similar),
-    n_copies (rows of the same text)."""
+    n_copies (rows of the same text), text_id (the same for equal texts; null for null)."""
     spark = df.sparkSession
     rows = entities(df, text, doc_id)
     texts = stash(rows.groupBy("eid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "texts")
@@ -234,9 +234,20 @@ def links(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     n_named = named.count()
     known = texts.select("eid", "rep", "n_copies").join(broadcast_if_small(named, n_named, 24), "eid", "left")
     known = known.select("eid", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = rows.select("doc_id", "eid").join(known, "eid").select("doc_id", "class_id", "n_links", "n_copies")
+    out = rows.select("doc_id", "eid").join(known, "eid").select("doc_id", "class_id", "n_links", "n_copies", F.col("eid").alias("text_id"))
     none = df.filter(F.col(text).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"))
-    return out.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
+    return out.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("text_id")))
+
+
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``df`` with one document of each class, the one whose id is the class id.  Rows with null ids
+    go if their class has an id, and stay otherwise; of repeated rows one stays."""
+    found = stash(links(df, text, doc_id), "links")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
+    n_gone, copies = found.agg(F.count(F.when(~F.col("doc_id").eqNullSafe(F.col("class_id")), 1)), F.count(F.lit(1)) - F.countDistinct(F.struct("doc_id", "text_id"))).first()
+    same = df[doc_id].cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(df[text]).eqNullSafe(F.col("__text")) & df[text].isNotNull()
+    out = df.join(broadcast_if_small(gone, n_gone, 24), same, "left_anti")
+    return out.dropDuplicates([doc_id, text]) if copies else out
 
 
 def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
