@@ -26,7 +26,8 @@ def postings(df: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]]
         return F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
 
     pairs = F.flatten(F.array(*[weighed(t, w) for t, w in each]))
-    rows = df.select(F.col(id_col).alias("id"), length.alias("dl"), F.explode(pairs).alias("p"))
+    # arrays and length below the explode: beside it they would be made for every term
+    rows = df.select(F.col(id_col).alias("id"), length.alias("dl"), pairs.alias("pairs")).select("id", "dl", F.explode("pairs").alias("p"))
     if len(each) == 1:
         return rows.select("id", "dl", F.col("p")["term"].alias("term"), F.col("p")["w"].alias("f"))
     return rows.groupBy("id", "dl", F.col("p")["term"].alias("term")).agg(F.sum("p.w").alias("f"))
