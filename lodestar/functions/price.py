@@ -10,6 +10,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values -------------------------------------------------------------------------------
 DIGITS = dict(zip("零〇一二两三四五六七八九", (0, 0, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9)))
@@ -158,7 +159,10 @@ def expressions(text: object) -> list[Expression]:
     return sorted(out, key=lambda e: e.start)
 
 
-@F.pandas_udf("array<struct<kind:string,value:double,lower:double,upper:double,text:string,start:int,end:int,approximate:boolean,inclusive:boolean>>")
+_TYPES = (T.StringType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), T.BooleanType())
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in zip(Expression._fields, _TYPES)])))
 def extract_prices(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [e._asdict() for e in expressions(t)])
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HAN = "㐀-䶿一-鿿"
 _CURRENCY_NAMES = (("人民币", "元"), ("块钱", "元"))
@@ -31,21 +32,21 @@ def query_form(text: str | None) -> str:
     return " ".join(re.sub(r"[，,。；;：:！!？?、|\s]+", " ", out).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """STR1: folded, without white space."""
     for s in texts:
         yield s.map(lambda t: "".join(fold(t).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_option(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """STR2: folded, without white space, ``/`` written ``|``."""
     for s in texts:
         yield s.map(lambda t: "".join(fold(t).replace("/", "|").split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_query(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """RET1: folded, one currency name, punctuation to single spaces."""
     for s in texts:
@@ -144,14 +145,14 @@ def texts_match(required: str | None, actual: str | None, aliases: dict[str, str
 def semantic_match(aliases: dict[str, str]):
     """An Arrow UDF (required, actual) -> boolean over an alias table."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def match(required: pd.Series, actual: pd.Series) -> pd.Series:
         return pd.Series([texts_match(a, b, aliases) for a, b in zip(required, actual)])
 
     return match
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def exact_spans(text: pd.Series, value: pd.Series) -> pd.Series:
     """STR17: all places of a value, whatever the case."""
 
