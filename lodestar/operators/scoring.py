@@ -79,7 +79,7 @@ def category_verdict(want: Column, have: Column) -> Column:
 def variant_price(options: Column, selected: Column, combinations: Column, base: Column) -> Column:
     """SC10, a ladder: a listed combination, the one axis whose values differ in price, a price common
     to all values, the one base price; null if nothing tells."""
-    combo = F.get(F.filter(combinations, lambda c: c["options"] == selected), F.lit(0))["price"]
+    combo = F.get(F.filter(combinations, lambda c: F.array_sort(F.map_entries(c["options"])) == F.array_sort(F.map_entries(selected))), F.lit(0))["price"]
     entries = F.map_entries(options)
     priced = F.filter(entries, lambda e: F.size(F.array_distinct(F.filter(F.transform(e["value"], lambda v: v["price"]), lambda p: p.isNotNull()))) > 1)
     axis = F.get(priced, F.lit(0))

@@ -13,8 +13,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC4, diagnosis: the lines that do not parse, with their file."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), "_corrupt_record").cache().filter("_corrupt_record is not null")
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return rows.select("file", parsed["_corrupt_record"].alias("_corrupt_record")).filter("_corrupt_record is not null")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
