@@ -215,7 +215,8 @@ def links(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     rows = entities(df, text, doc_id)
     texts = stash(rows.groupBy("eid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "texts")
     groups = stash(components(candidates(texts.filter("n > 0").select("eid", "n", "sketch")), "groups"), "groups")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    n_groups = groups.count() // 2  # a group has two members at least
+    sizes = broadcast_if_small(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), n_groups, 16)
     tied = stash(groups.withColumnRenamed("node", "eid").join(sizes, "root").join(texts.select("eid", "rep"), "eid"), "tied")
     n_tied = tied.count()
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -228,8 +229,8 @@ def links(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     tested = stash(tested, "tested")
     classes = components(tested.filter("other is not null").select(F.col("eid").alias("a"), F.col("other").alias("b")), "classes")
     counts = tested.groupBy("eid").agg(F.sum("links").alias("n_links"))
-    classed = classes.withColumnRenamed("node", "eid").join(texts.select("eid", "rep"), "eid")
-    least = classed.groupBy("root").agg(F.min("rep").alias("class_id"))
+    classed = stash(classes.withColumnRenamed("node", "eid").join(texts.select("eid", "rep"), "eid"), "classed")
+    least = broadcast_if_small(classed.groupBy("root").agg(F.min("rep").alias("class_id")), classed.count() // 2, 16)
     named = stash(classed.join(least, "root").join(counts, "eid").select("eid", "class_id", "n_links"), "named")
     n_named = named.count()
     known = texts.select("eid", "rep", "n_copies").join(broadcast_if_small(named, n_named, 24), "eid", "left")
