@@ -5,7 +5,8 @@ A document's terms are its runs of five words, weighted by how often they occur.
 with t = floor(ln w / r + b) its rank is ln c - r (t - b + 1), and the term of the least rank, with
 its t, is the sample.  Two documents draw the same sample with a probability that is the
 generalised Jaccard similarity of their weighted terms, so the share of equal samples estimates it.
-A gamma is minus the logarithm of the product of two 20-bit uniforms, which are bits of the hash.
+The gammas come from a table of ``STEPS`` quantiles, a row that is joined to every document, since
+logarithms would take most of the time and repeated constants most of the planning.
 
 Everything is arrays and aggregates: one least number per draw holds the rank in its upper bits and
 24 bits of the sample below.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, let, place, shuffle_partitions, small_table, words
 
-SAMPLES, WORDS = 64, 5
+SAMPLES, STEPS, WORDS = 64, 4096, 5
 ID_BITS = 24
 
 
@@ -46,17 +47,35 @@ def terms(text: Column) -> Column:
     return let(let(words(F.coalesce(text, F.lit(""))), hashes), runs_of)
 
 
-def draws(samples: int = SAMPLES) -> list[Column]:
-    """One aggregate a draw over rows (x, lw: log of the weight)."""
-    def uniform(bits: Column, at: int) -> Column:
-        return F.shiftright(bits, at).bitwiseAND(F.lit((1 << 20) - 1)).cast("double") + 0.5
+def gamma_quantiles(steps: int = STEPS) -> list[float]:
+    """Quantiles of Gamma(2, 1) in the middle of equal steps, by Newton's method."""
+    out, x = [], 1e-3
+    for i in range(steps):
+        p = (i + 0.5) / steps
+        for _ in range(60):
+            d = (1 - math.exp(-x) * (1 + x) - p) / (x * math.exp(-x))
+            x = max(x / 4, x - d)
+            if abs(d) < 1e-12 * x:
+                break
+        out.append(x)
+    return out
+
+
+def gamma_table(spark: SparkSession) -> DataFrame:
+    """One row: zero, the quantiles and their logarithms."""
+    column = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    gamma = gamma_quantiles()
+    return spark.range(1).select(F.col("id").alias("zero"), column(gamma).alias("gamma"), column([math.log(g) for g in gamma]).alias("log_gamma"))
+
 
-    unit, out = 1.0 / (1 << 20), []
-    for k in range(samples):
-        g, h = F.xxhash64(F.lit(k), F.col("x")), F.xxhash64(F.col("x"), F.lit(k))
-        r = -F.log(uniform(g, 0) * uniform(g, 20) * (unit * unit))
-        c = F.log(-F.log(uniform(h, 0) * uniform(h, 20) * (unit * unit)))
-        b = uniform(g, 40) * unit
+def draws(count: int = SAMPLES) -> list[Column]:
+    """One aggregate a draw over rows (x, lw: log of the weight, gamma, log_gamma)."""
+    out, step = [], F.lit(STEPS - 1)
+    for k in range(count):
+        h = F.xxhash64(F.lit(k), F.col("x"))
+        r = F.get("gamma", h.bitwiseAND(step).cast("int"))
+        c = F.get("log_gamma", F.shiftright(h, 12).bitwiseAND(step).cast("int"))
+        b = (F.shiftright(h, 24).bitwiseAND(F.lit((1 << 20) - 1)).cast("double") + 0.5) * (1.0 / (1 << 20))
         t = F.when(F.col("lw") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("lw") / r + b))
         rank = c - r * (t.cast("double") - b + 1.0)
         own = F.col("x").bitwiseXOR(t * 7919).bitwiseAND(F.lit((1 << ID_BITS) - 1))
@@ -79,10 +98,12 @@ def shown(fingerprint: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, samples) per distinct keys of ``rows``.  If the rows are already dealt out by some of
-    the keys, nothing moves."""
-    single = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("term"))
-    weighed = single.select(*keys, F.col("term")["x"].alias("x"), F.log(F.col("term")["w"].cast("double")).alias("lw"))
+    """(keys, samples) per distinct keys of ``rows`` (keys may not be called body, zero, gamma or
+    log_gamma).  If the rows are already dealt out by some of the keys, nothing moves."""
+    zero = F.coalesce(F.length(text), F.lit(0)).bitwiseAND(F.lit(0)).cast("long")
+    told = rows.select(*keys, F.col(text).alias("body"), zero.alias("zero")).join(F.broadcast(gamma_table(rows.sparkSession)), "zero")  # one row
+    single = told.select(*keys, "gamma", "log_gamma", F.explode_outer(terms(F.col("body"))).alias("term"))
+    weighed = single.select(*keys, "gamma", "log_gamma", F.col("term")["x"].alias("x"), F.log(F.col("term")["w"].cast("double")).alias("lw"))
     return weighed.groupBy(*keys).agg(*draws()).select(*keys, samples().alias("samples"))
 
 
