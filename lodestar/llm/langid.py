@@ -29,6 +29,8 @@ from .scan import LETTER, NEEDS_E, SINGLE, E, ELL, Memo, _mix, batches, joined,
 
 PER_LANGUAGE, MOST_CHARS = 300, 200_000
 CHAIN, DIMENSIONS, EPOCHS, BATCH, RATE = 64, 1 << 15, 3, 256, 0.3
+#: Characters and words held at a time: what a Python worker needs beside its Arrow batch.
+CHARS, HELD = 1 << 20, 200_000
 UNKNOWN = "und"
 
 
@@ -200,9 +202,9 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(400_000)
+        memo = Memo(HELD)
         for part in parts:
-            found = [x for texts in batches(part[text].fillna("").tolist(), 1 << 20) for x in predict_texts(texts, labels, weights, moves, memo)]
+            found = [x for texts in batches(part[text].fillna("").tolist(), CHARS) for x in predict_texts(texts, labels, weights, moves, memo)]
             yield part[keep].assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
 
     return df.select(*keep).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")

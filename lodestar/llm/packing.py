@@ -31,6 +31,8 @@ from .common import documents, shuffle_partitions, stash
 from .scan import ADDED, MARK, SPACE, WHITE, Memo, batches, joined, slice_hashes, token_starts
 
 CAPACITY = 2048
+#: Characters and words held at a time: what a Python worker needs beside its Arrow batch.
+CHARS, HELD = 1 << 20, 250_000
 WORDS_AT_ONCE = 512
 
 
@@ -117,11 +119,11 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str =
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, memo = load(path), Memo(600_000)
+        words, memo = load(path), Memo(HELD)
         for part in parts:
             names, at = part[doc_id].tolist(), 0
             rows: list[tuple] = []
-            for texts in batches(part[text].fillna("").tolist()):
+            for texts in batches(part[text].fillna("").tolist(), CHARS):
                 for own in token_ids(texts, words, memo):
                     own = np.append(own, np.uint32(0)).astype("<u4")
                     for k, lo in enumerate(range(0, len(own), capacity)):
