@@ -62,8 +62,10 @@ def gamma_quantiles(steps: int = STEPS) -> list[float]:
 
 
 def gamma_table(spark: SparkSession) -> DataFrame:
-    """One row: zero, the quantiles and their logarithms."""
-    column = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    """One row: zero, the quantiles and their logarithms.  They depend on the row, else the optimizer
+    would write the constant arrays into each of the draws."""
+    nothing = F.replace(F.col("id").cast("string"), F.lit("0"), F.lit(""))
+    column = lambda values: F.split(F.concat(F.lit(",".join(map(repr, values))), nothing), ",").cast("array<double>")
     gamma = gamma_quantiles()
     return spark.range(1).select(F.col("id").alias("zero"), column(gamma).alias("gamma"), column([math.log(g) for g in gamma]).alias("log_gamma"))
 
