@@ -43,6 +43,25 @@ def test_python_queries_run(spark, name):
     assert python_queries.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_greedy_selection_of_hot_customers(spark, tmp_path):
+    bands = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    rows = [(b * 10_000 + k, 1 + k % 2 if k < 900 else 10 + k % 150, name, float(5000 - k)) for b, name in enumerate(bands) for k in range(1200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [r.o_orderkey for r in python_queries.greedy_selection(spark, str(tmp_path)).collect()]
+    quotas, used, want = dict(zip(bands, (40, 30, 20, 20, 10))), set(), []
+    left = {name: sorted((r for r in rows if r[2] == name), key=lambda r: (-r[3], r[0])) for name in bands}
+    taken = dict.fromkeys(bands, 0)
+    while len(want) < 100 and any(left.values()):
+        for name in bands:
+            left[name] = [r for r in left[name] if r[1] not in used] if taken[name] < quotas[name] else []
+            if left[name] and len(want) < 100:
+                row = left[name].pop(0)
+                used.add(row[1])
+                taken[name] += 1
+                want.append(row[0])
+    assert len(want) == 100 and got == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
