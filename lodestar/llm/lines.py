@@ -2,12 +2,14 @@
 
 Lines are cut at newlines; a line's set is its runs of ``SHINGLE`` characters (UTF-16 units).  Each
 shingle is hashed once and gives ``BANDS * ROWS`` draws, of which a line keeps the least; copies of
-a line meet in the same aggregation.  Lines that agree in all draws of a band share a bucket.  In a
-bucket, ordered by a further draw, a line is paired with the first and with the two before it, so
-the number of pairs follows the number of lines; buckets that hold a large part of all rows are
-salted, and their lines are paired with one common line as well.  Pairs are verified by the exact
-Jaccard similarity of their shingles, and connected components of what holds (and copies) keep one
-line: the first in the document of least id.
+a line meet in the same aggregation.  Lines that agree in all draws of a band share a bucket, and all
+pairs of a bucket are candidates.  First, in the order of a further draw, a line is paired with the
+first and with the two before it (buckets that hold a large part of all rows are salted, and their
+lines are paired with one common line as well): that ties groups of near copies together.  Then the
+lines of a bucket that are not tied to its largest group are held against all others of it, block
+against block; pairs that are tied already need no look.  Pairs are verified by the exact Jaccard
+similarity of their shingles, and connected components of what holds (and copies) keep one line: the
+first in the document of least id.
 
 Lines without a word are layout and stay.  Lines shorter than a shingle are only equal or not.
 Null and empty texts have no line to drop and stay as they are.  Rows of equal id count as one
@@ -34,6 +36,8 @@ MASKS = tuple((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for k
 BITS, AGREE = 10, 8
 #: Buckets of more than one in HOT of all rows are salted, SALT ways; ids of one in SAMPLE tell.
 HOT, SALT, SAMPLE = 200, 64, 64
+#: Lines in a block, where all pairs of a bucket are looked at.
+LINES = 1024
 
 
 def line_id(line: Column) -> Column:
@@ -78,8 +82,8 @@ def _agreeing(a: Column, b: Column) -> Column:
     return out
 
 
-def candidate_pairs(signed: DataFrame, n_lines: int) -> DataFrame:
-    """(a, b) of lines that share a bucket and agree in enough draws, a few for each line."""
+def _buckets(signed: DataFrame) -> DataFrame:
+    """(me: id and packed draws, key: bucket, next: a further draw), a row for each line and band."""
     band = lambda k: F.struct(F.xxhash64(F.lit(k), *[f"d{k * ROWS + r}" for r in range(ROWS)]).alias("key"), F.col(f"d{(k * ROWS + ROWS) % (BANDS * ROWS)}").alias("next"))
 
     def pack(k: int) -> Column:
@@ -90,15 +94,47 @@ def candidate_pairs(signed: DataFrame, n_lines: int) -> DataFrame:
 
     me = F.struct("id", *[pack(k) for k in range(BANDS)])
     rows = signed.select(me.alias("me"), F.array(*[band(k) for k in range(BANDS)]).alias("bands")).select("me", F.explode("bands").alias("b"))
-    rows = rows.select("me", F.col("b")["key"].alias("key"), F.col("b")["next"].alias("next"))
+    return rows.select("me", F.col("b")["key"].alias("key"), F.col("b")["next"].alias("next"))
+
+
+def candidate_pairs(signed: DataFrame, n_lines: int) -> DataFrame:
+    """(a, b) of lines that share a bucket and agree in enough draws, a few for each line; and
+    (bucket, null) of the buckets of which not all pairs were looked at."""
+    rows = _buckets(signed)
     seen = rows.filter(F.pmod(F.col("me")["id"], F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("me").alias("common"))
     hot = seen.filter(F.col("c") > max(16, n_lines // (SAMPLE * HOT))).select("key", "common")  # fewer than BANDS * HOT
     salted = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("common").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("me")["id"]), F.lit(SALT))))
     w = W.partitionBy("key", "salt").orderBy("next", F.col("me")["id"])
-    near = salted.select("me", F.array("common", F.first("me").over(w), F.lag("me").over(w), F.lag("me", 2).over(w)).alias("others"))
-    pairs = near.select("me", F.explode("others").alias("other")).filter(F.col("other").isNotNull() & (F.col("other")["id"] != F.col("me")["id"]))
-    pairs = pairs.filter(_agreeing(F.col("me"), F.col("other")) >= AGREE)
-    return pairs.select(F.greatest(F.col("me")["id"], F.col("other")["id"]).alias("a"), F.least(F.col("me")["id"], F.col("other")["id"]).alias("b")).distinct()
+    near = salted.select("me", "key", "common", F.row_number().over(w).alias("at"), F.first("me").over(w).alias("first"), F.lag("me").over(w).alias("one"), F.lag("me", 2).over(w).alias("two"))
+    # of up to four lines in one salt all pairs are looked at; a line paired with itself tells of more
+    more = (F.col("at") == 5) | (F.col("common").isNotNull() & (F.col("at") == 1))
+    others = F.array(F.when(F.col("common")["id"] != F.col("me")["id"], F.col("common")), F.when(F.col("at") > 3, F.col("first")), F.col("one"), F.col("two"), F.when(more, F.col("me")))
+    pairs = near.select("me", "key", F.explode(others).alias("other")).filter(F.col("other").isNotNull())
+    itself = F.col("other")["id"] == F.col("me")["id"]
+    pairs = pairs.filter(itself | (_agreeing(F.col("me"), F.col("other")) >= AGREE))
+    return pairs.select(F.when(itself, F.col("key")).otherwise(F.greatest(F.col("me")["id"], F.col("other")["id"])).alias("a"), F.when(~itself, F.least(F.col("me")["id"], F.col("other")["id"])).alias("b")).distinct()
+
+
+def remaining_pairs(signed: DataFrame, keys: DataFrame, n_keys: int, tied: DataFrame, n_tied: int) -> DataFrame:
+    """(a, b) of all lines that share one of the buckets ``keys``, agree in enough draws and are not
+    in one component (node, root) yet.  One of the two is not in the largest component of the
+    bucket, so those lines are held against all, block against block."""
+    rows = _buckets(signed).select("me", "key").join(broadcast_if_small(keys, n_keys, 16), "key")
+    rows = rows.join(broadcast_if_small(tied.select(F.col("node").alias("id"), "root"), n_tied, 24), F.col("me")["id"] == F.col("id"), "left")
+    rows = stash(rows.select("key", "me", F.coalesce("root", F.col("me")["id"]).alias("root")), "line-dense")
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    tops = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("top")).filter(F.col("c") > F.col("top")["c"])
+    blocks = lambda n: F.ceil(n / LINES).cast("int")
+    tops = stash(tops.select("key", F.col("top")["root"].alias("top"), blocks(F.col("c") - F.col("top")["c"]).alias("rows"), blocks(F.col("c")).alias("columns")), "line-tops")
+    open_ = rows.join(broadcast_if_small(tops, tops.count(), 32), "key")
+    block = lambda n: F.pmod(F.xxhash64(F.col("me")["id"], F.lit(7)), F.col(n)).cast("int")
+    some = open_.filter("root != top").select("key", "me", "root", block("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+    every = open_.select("key", F.col("me").alias("other"), F.col("root").alias("far"), "top", block("columns").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
+    a, b = F.col("me")["id"], F.col("other")["id"]
+    differ = (F.col("root") != F.col("far")) & ((F.col("far") == F.col("top")) | (a < b))
+    same = (some["key"] == every["key"]) & (some["i"] == every["i"]) & (some["j"] == every["j"])
+    met = some.join(every, same & differ & (_agreeing(F.col("me"), F.col("other")) >= AGREE))
+    return met.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 
 def verified(df: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
@@ -118,7 +154,13 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     signed = stash(signatures(df, text, doc_id), "line-signatures")
     n_lines = signed.count()
     pairs = stash(candidate_pairs(signed, n_lines), "line-pairs")
-    held = stash(verified(df, pairs, text), "line-links")
+    held = stash(verified(df, pairs.filter("b is not null"), text), "line-links")
+    keys = pairs.filter("b is null").select(F.col("a").alias("key"))
+    n_keys = keys.count()
+    if n_keys:
+        more = stash(remaining_pairs(signed, keys, n_keys, components(held, "line-first"), held.count() * 2), "line-remaining")
+        if not more.isEmpty():
+            held = stash(held.unionByName(verified(df, more, text)), "line-links")
     tied = components(held, "line-classes").select(F.col("node").alias("id"), "root")
     n_tied = held.count() * 2
     lines = signed.select("id", "n", "doc").join(broadcast_if_small(tied, n_tied, 24), "id", "left")

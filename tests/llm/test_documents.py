@@ -107,6 +107,22 @@ def test_fuzzy_lines(spark, no_docs):
     assert lines.drop_lines(no_docs).count() == 0
 
 
+def test_all_pairs_of_a_bucket(spark):
+    rng = random.Random(22)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    form, own = make(72), [make(36) for _ in range(600)]  # lines on one template, with near copies of some
+    copies = {form + w: form + w[:-9] + make(9) for w in own[::3]}
+    df = spark.createDataFrame(list(enumerate([*(form + w for w in own), *copies.values()])), "doc_id long, text string")
+    assert len(char_shingles(form + own[0]) & char_shingles(form + own[1])) / len(char_shingles(form + own[0]) | char_shingles(form + own[1])) < 0.6
+    ids = {r.text: r.id for r in df.select("text", lines.line_id(F.col("text")).alias("id")).collect()}
+    signed = {r.id: r for r in lines.signatures(df, "text", "doc_id").collect()}
+    band = lambda t, k: tuple(signed[ids[t]][f"d{k * lines.ROWS + r}"] for r in range(lines.ROWS))
+    root = {r.id: r.root for r in lines.classes(df).collect()}
+    shared = [(t, c) for t, c in copies.items() if any(band(t, k) == band(c, k) for k in range(lines.BANDS))]
+    assert all(5 * len(char_shingles(t) & char_shingles(c)) >= 4 * len(char_shingles(t) | char_shingles(c)) for t, c in shared) and len(shared) > 190
+    assert [t for t, c in shared if ids[t] not in root or root[ids[t]] != root.get(ids[c])] == []
+
+
 def test_lines_of_odd_rows(spark, tables, plain_docs):
     assert lines.op2_fuzzy_lines(spark, tables).count() == len(plain_docs)
 
