@@ -162,7 +162,8 @@ def candidates(sets: DataFrame) -> DataFrame:
             break
         pivots = big.select("node", "pivot").distinct().join(sets.select(F.col("eid").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "pivot")
         met = big.select("node", "eid").join(sets, "eid").join(pivots, "node").filter("eid != pivot")
-        near = F.when(F.least("n", "pn") * OF >= F.greatest("n", "pn") * SHARED, estimate(F.col("sketch"), F.col("n"), F.col("ps"), F.col("pn"))).otherwise(0.0)
+        # sizes tell nothing here: what is similar to a set that leaves is tied, be it no link of the pivot's
+        near = estimate(F.col("sketch"), F.col("n"), F.col("ps"), F.col("pn"))
         # children: tokens that the node samples again, 1 / (4/5) of them to be expected
         again = F.filter("sketch", lambda t: F.shiftrightunsigned(F.xxhash64(F.col("node"), t), 1) < (F.lit(TOP) * OF / SHARED / F.greatest(F.size("sketch"), F.lit(1))))
         children = F.when(F.col("near") < LEAVE, F.transform(again, lambda t: F.xxhash64(F.col("node"), t, F.lit(depth)))).otherwise(F.array().cast("array<bigint>"))

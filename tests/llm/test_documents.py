@@ -274,6 +274,18 @@ def test_hot_group_and_common_passage(spark):
     assert {out[i].class_id for i in range(260)} == {0} and all(out[1000 + i].class_id == 1000 + i for i in range(150))
 
 
+def test_shortened_copies_in_a_large_node(spark):
+    rng = random.Random(30)
+    base = prose(rng, 1200).split(" ")
+    texts = [base[: rng.randint(1186, 1200)] + [f"edit{i}"] for i in range(200)]
+    texts += [base[:n] for n in rng.sample(range(1104, 1150), 12)] + [base[:n] for n in rng.sample(range(936, 944), 6)]  # not links of the first, but of some that are
+    rows = list(enumerate(map(" ".join, texts)))
+    _, linked = brute_links(rows)
+    out = {r.doc_id: r for r in join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.n_links for i, r in out.items()} == {i: len(linked[t]) for i, t in rows}
+    assert {r.class_id for r in out.values()} == {0}
+
+
 def test_keep_one(spark, docs):
     kept = [r.doc_id for r in join.keep_one(docs).select("doc_id").collect()]
     assert not {12, 13, 14, 19} & set(kept) and {0, 1, 2, 15, 18} <= set(kept) and kept.count(3) == 1
