@@ -16,19 +16,22 @@ REQUESTS = (
 )
 
 
-def _requests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(REQUESTS)), "request_id int, text string")
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests, and the text of every document (with ``doc_id`` in place of ``request_id``)."""
+    own = spark.createDataFrame(list(enumerate(REQUESTS)), "request_id int, text string").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.unionByName(docs, allowMissingColumns=True)
 
 
 def price_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NUM6 to NUM9."""
-    return _requests(spark).select("request_id", F.explode(price.extract_prices("text")).alias("e")).select("request_id", "e.*")
+    return _requests(spark, sf_dir).select("request_id", "doc_id", F.explode(price.extract_prices("text")).alias("e")).select("request_id", "doc_id", "e.*")
 
 
 def price_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NUM10 to NUM12."""
-    rows = _requests(spark).select("request_id", "text", price.extract_prices("text").alias("found"))
-    return rows.select("request_id", price.budget(F.col("found")).alias("budget"), price.constraint(F.col("found")).alias("want"), price.basis(F.col("text")).alias("unit"))
+    rows = _requests(spark, sf_dir).select("request_id", "doc_id", "text", price.extract_prices("text").alias("found"))
+    return rows.select("request_id", "doc_id", price.budget(F.col("found")).alias("budget"), price.constraint(F.col("found")).alias("want"), price.basis(F.col("text")).alias("unit"))
 
 
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,23 @@ def test_greedy_selection_of_hot_customers(spark, tmp_path):
     assert len(want) == 100 and got == want
 
 
+def test_prices_of_documents(spark, tmp_path):
+    from lodestar.functions import price
+
+    docs = [(1, "预算不超过300元，每包价格约1.5元"), (2, None), (3, ""), (4, "no price"), (5, "价格在三百元到四百元之间 " * 40), (6, "高于80元低于120元"), (None, "至少50元的礼盒")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    every = [(k, None, t) for k, t in enumerate(python_queries.REQUESTS)] + [(None, i, t) for i, t in docs]
+    got = python_queries.price_expressions(spark, str(tmp_path)).collect()
+    want = [(k, i, *e) for k, i, t in every for e in price.expressions(t)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and sum(r.doc_id == 5 for r in got) == 40
+    found = {(r.request_id, r.doc_id): r for r in python_queries.price_constraints(spark, str(tmp_path)).collect()}
+    assert set(found) == {(k, i) for k, i, _ in every} and len(found) == len(every)
+    for k, i, t in every:
+        tops = [e.value if e.upper is None else e.upper for e in price.expressions(t) if e.kind in ("upper", "range", "around")]
+        assert found[k, i].budget == (min(tops) if tops else None)
+    assert found[None, 1].unit == "包" and found[None, 2].want is None and tuple(found[None, 6].want)[:4] == ("between", None, 80.0, 120.0)
+
+
 def test_entry(spark):
     import __spark_entry__
 
