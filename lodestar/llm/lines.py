@@ -31,9 +31,9 @@ SHARED, OF = 4, 5  # similarity of 4/5 or more
 #: shingle of two lines is as likely as another to be it, and masks far apart in their upper bits
 #: (multiples of the golden ratio) draw from different parts.
 MASKS = tuple((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(1, BANDS * ROWS + 1))
-#: Bits of a draw that are compared, and draws that must agree before a pair is verified: of 18 draws a pair
-#: of similarity 0.8 agrees in 14.4 on average, and in fewer than 8 with a chance of 2 in 10^4.
-BITS, AGREE = 10, 8
+#: Bits of a draw that are compared (nine draws in a long), and draws that must agree before a pair is verified:
+#: of 18 draws a pair of similarity 0.8 agrees in 14.4 on average, and in fewer than 9 with a chance of 1 in 10^3.
+BITS, PACKED, AGREE = 7, 9, 9
 #: Buckets of more than one in HOT of all rows are salted, SALT ways; ids of one in SAMPLE tell.
 HOT, SALT, SAMPLE = 200, 64, 64
 #: Lines in a block, where all pairs of a bucket are looked at.
@@ -68,32 +68,36 @@ def signatures(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = rows.select("doc", line_id(F.col("line")).alias("id"), _units(F.col("line")).alias("units"))
     rows = rows.select("doc", "id", "units", F.explode(F.sequence(F.lit(0), _count(F.col("units")) - 1)).alias("at"))
     rows = rows.select("doc", "id", "at", _shingle(F.col("units"), F.col("at")).alias("h"))
-    draws = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(m)), 32)).alias(f"d{k}") for k, m in enumerate(MASKS)]
+    draws = [F.shiftright(F.min(F.col("h").bitwiseXOR(F.lit(m))), 32).alias(f"d{k}") for k, m in enumerate(MASKS)]
     return rows.groupBy("id").agg(F.sum((F.col("at") == 0).cast("long")).alias("n"), F.min("doc").alias("doc"), *draws)
 
 
 def _agreeing(a: Column, b: Column) -> Column:
     """In how many draws two packed signatures agree, by ``BITS`` bits of each."""
-    out, field = F.lit(0), F.lit((1 << BITS) - 1)
-    for k in range(BANDS):
+    out, field = F.lit(0), F.lit((1 << BITS) - 1).cast("long")
+    for k in range(BANDS * ROWS // PACKED):
         differ = a[f"p{k}"].bitwiseXOR(b[f"p{k}"])
-        for r in range(ROWS):
+        for r in range(PACKED):
             out = out + (F.shiftright(differ, r * BITS).bitwiseAND(field) == 0).cast("int")
     return out
 
 
-def _buckets(signed: DataFrame) -> DataFrame:
-    """(me: id and packed draws, key: bucket, next: a further draw), a row for each line and band."""
-    band = lambda k: F.struct(F.xxhash64(F.lit(k), *[f"d{k * ROWS + r}" for r in range(ROWS)]).alias("key"), F.col(f"d{(k * ROWS + ROWS) % (BANDS * ROWS)}").alias("next"))
+def _packed() -> Column:
+    """A line's id and its draws, ``PACKED`` in a long."""
 
     def pack(k: int) -> Column:
-        out = F.lit(0).cast("int")
-        for r in range(ROWS):
-            out = out.bitwiseOR(F.shiftleft(F.col(f"d{k * ROWS + r}").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"), r * BITS))
+        out = F.lit(0).cast("long")
+        for r in range(PACKED):
+            out = out.bitwiseOR(F.shiftleft(F.col(f"d{k * PACKED + r}").bitwiseAND(F.lit((1 << BITS) - 1)).cast("long"), r * BITS))
         return out.alias(f"p{k}")
 
-    me = F.struct("id", *[pack(k) for k in range(BANDS)])
-    rows = signed.select(me.alias("me"), F.array(*[band(k) for k in range(BANDS)]).alias("bands")).select("me", F.explode("bands").alias("b"))
+    return F.struct("id", *[pack(k) for k in range(BANDS * ROWS // PACKED)])
+
+
+def _buckets(signed: DataFrame) -> DataFrame:
+    """(me: id and packed draws, key: bucket, next: a further draw), a row for each line and band."""
+    band = lambda k: F.struct(F.xxhash64(F.lit(k), *[f"d{k * ROWS + r}" for r in range(ROWS)]).alias("key"), F.col(f"d{(k * ROWS + ROWS) % (BANDS * ROWS)}").alias("next"))
+    rows = signed.select(_packed().alias("me"), F.array(*[band(k) for k in range(BANDS)]).alias("bands")).select("me", F.explode("bands").alias("b"))
     return rows.select("me", F.col("b")["key"].alias("key"), F.col("b")["next"].alias("next"))
 
 
@@ -115,6 +119,17 @@ def candidate_pairs(signed: DataFrame, n_lines: int) -> DataFrame:
     return pairs.select(F.when(itself, F.col("key")).otherwise(F.greatest(F.col("me")["id"], F.col("other")["id"])).alias("a"), F.when(~itself, F.least(F.col("me")["id"], F.col("other")["id"])).alias("b")).distinct()
 
 
+def _texts(df: DataFrame, ids: DataFrame, n_ids: int, text: str) -> DataFrame:
+    """(id, line) of the lines ``ids``."""
+    rows = df.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(line_id(F.col("line")).alias("id"), "line")
+    return rows.join(broadcast_if_small(ids, n_ids, 16), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def _shingles(line: Column) -> Column:
+    """The set of a line."""
+    return let(_units(line), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: _shingle(u, i))))
+
+
 def remaining_pairs(signed: DataFrame, keys: DataFrame, n_keys: int, tied: DataFrame, n_tied: int) -> DataFrame:
     """(a, b) of all lines that share one of the buckets ``keys``, agree in enough draws and are not
     in one component (node, root) yet.  One of the two is not in the largest component of the
@@ -140,11 +155,10 @@ def remaining_pairs(signed: DataFrame, keys: DataFrame, n_keys: int, tied: DataF
 def verified(df: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """The pairs whose lines are similar."""
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ends")
-    rows = df.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(line_id(F.col("line")).alias("id"), "line")
-    bodies = rows.join(broadcast_if_small(ends, ends.count(), 16), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    shingles = lambda line: let(_units(line), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: _shingle(u, i))))
-    like = let(shingles(F.col("x")), lambda p: let(shingles(F.col("y")), lambda q: let(F.size(F.array_intersect(p, q)), lambda n: n * OF >= (F.size(p) + F.size(q) - n) * SHARED)))
+    bodies = stash(_texts(df, ends, ends.count(), text), "line-texts")
+    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    both = both.join(bodies.select(F.col("id").alias("b"), _shingles(F.col("line")).alias("y")), "b")
+    like = let(_shingles(F.col("x")), lambda p: let(F.size(F.array_intersect(p, F.col("y"))), lambda n: n * OF >= (F.size(p) + F.size("y") - n) * SHARED))
     return both.filter(like).select("a", "b")
 
 
@@ -157,12 +171,17 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     held = stash(verified(df, pairs.filter("b is not null"), text), "line-links")
     keys = pairs.filter("b is null").select(F.col("a").alias("key"))
     n_keys = keys.count()
+    tied = components(held, "line-classes")
+    n_tied = held.count() * 2
     if n_keys:
-        more = stash(remaining_pairs(signed, keys, n_keys, components(held, "line-first"), held.count() * 2), "line-remaining")
+        more = stash(remaining_pairs(signed, keys, n_keys, tied, n_tied), "line-remaining")
         if not more.isEmpty():
-            held = stash(held.unionByName(verified(df, more, text)), "line-links")
-    tied = components(held, "line-classes").select(F.col("node").alias("id"), "root")
-    n_tied = held.count() * 2
+            late = stash(verified(df, more, text), "line-late")
+            n_late = late.count()
+            if n_late:
+                stars = tied.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                tied, n_tied = components(stars.unionByName(late), "line-classes"), n_tied + n_late * 2
+    tied = tied.select(F.col("node").alias("id"), "root")
     lines = signed.select("id", "n", "doc").join(broadcast_if_small(tied, n_tied, 24), "id", "left")
     lines = lines.filter("root is not null or n > 1").select("id", F.coalesce("root", "id").alias("root"), "doc")
     n_shared = signed.filter("n > 1").count()
