@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows times bytes up to which a side may be broadcast once it has been counted.
 BROADCAST_BYTES = 24 << 20
+#: Rows and bytes of an Arrow batch.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -31,6 +33,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of ``ARROW_ROWS`` rows and ``ARROW_BYTES`` bytes at most, unless the session asks for
+    less: a Python worker holds a batch, what it makes of it, and the next one."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint only for a side whose counted size is under ``BROADCAST_BYTES``; beyond it
     the join shuffles, with AQE splitting skewed partitions."""

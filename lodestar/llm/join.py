@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, shuffle_partitions, stash
+from .common import broadcast_if_small, documents, shuffle_partitions, small_batches, stash
 from .components import components
 from .scan import batches
 from .shingles import shingle_sets
@@ -212,7 +212,7 @@ def _rows(out: list[tuple]) -> pd.DataFrame:
 def links(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: doc_id, class_id, n_links (different texts that are similar),
     n_copies (rows of the same text), text_id (the same for equal texts; null for null)."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     rows = entities(df, text, doc_id)
     texts = stash(rows.groupBy("eid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "texts")
     groups = stash(components(candidates(texts.filter("n > 0").select("eid", "n", "sketch")), "groups"), "groups")

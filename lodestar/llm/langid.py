@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 from .scan import LETTER, NEEDS_E, SINGLE, E, ELL, Memo, _mix, batches, joined, slice_hashes, class_table
 
 PER_LANGUAGE, MOST_CHARS = 300, 200_000
 CHAIN, DIMENSIONS, EPOCHS, BATCH, RATE = 64, 1 << 15, 3, 256, 0.3
 #: Characters and words held at a time: what a Python worker needs beside its Arrow batch.
-CHARS, HELD = 1 << 20, 200_000
+CHARS, HELD = 1 << 19, 200_000
 UNKNOWN = "und"
 
 
@@ -173,7 +173,7 @@ def predict_texts(texts: list[str], labels: list[str], weights: np.ndarray, move
     out = [(UNKNOWN, 0.0)] * len(texts)
     spoken: list[list] = [[] for _ in texts]
     if len(s) and labels:
-        which, values = memo.look(slice_hashes(codes, s, e), lambda p: list(emissions([whole[a:b] for a, b in zip(s[p].tolist(), e[p].tolist())], weights)))
+        which, values = memo.look(slice_hashes(codes, s, e), lambda p: [x.tobytes() for x in emissions([whole[a:b] for a, b in zip(s[p].tolist(), e[p].tolist())], weights)])
         cut = np.searchsorted(s, bounds)
         n = np.diff(cut)
         links = -(-n // CHAIN)
@@ -182,7 +182,7 @@ def predict_texts(texts: list[str], labels: list[str], weights: np.ndarray, move
         row, col = np.repeat(base[:-1], n) + place // CHAIN, place % CHAIN
         score = np.zeros((base[-1], CHAIN, len(labels)), np.float32)
         mask = np.zeros((base[-1], CHAIN), bool)
-        score[row, col], mask[row, col] = np.stack(values)[which], True
+        score[row, col], mask[row, col] = np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)[which], True
         p, _ = marginals(score, mask, moves)
         of_word = p[row, col]
         sums = np.concatenate([np.zeros((1, len(labels))), np.cumsum(of_word, 0, dtype=np.float64)])
@@ -198,6 +198,7 @@ def predict_texts(texts: list[str], labels: list[str], weights: np.ndarray, move
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``."""
     labels, weights, moves = model
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 

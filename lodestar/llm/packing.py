@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, stash
+from .common import documents, shuffle_partitions, small_batches, stash
 from .scan import ADDED, MARK, SPACE, WHITE, Memo, batches, joined, slice_hashes, token_starts
 
 CAPACITY = 2048
 #: Characters and words held at a time: what a Python worker needs beside its Arrow batch.
-CHARS, HELD = 1 << 20, 250_000
-WORDS_AT_ONCE = 512
+CHARS, HELD = 1 << 19, 250_000
+WORDS_AT_ONCE, RUNS_AT_ONCE = 512, 32
 
 
 class Words:
@@ -48,17 +48,21 @@ class Words:
         self.ends[[i for t, i in spec.items() if t.endswith("</w>")]] = True
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        """Each word's ids: words go to the library many at a time, parted by spaces, and every
-        word's last id is one that ends a word."""
-        runs = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
-        out: list[np.ndarray] = []
-        for run, found in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            parts = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
-            if len(parts) != len(run):  # a word without such an end: one by one
-                parts = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(run, add_special_tokens=False)]
-            out.extend(parts)
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, four bytes each: words go to the library many at a time, parted by spaces,
+        and every word's last id is one that ends a word."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), WORDS_AT_ONCE * RUNS_AT_ONCE):
+            some = words[lo : lo + WORDS_AT_ONCE * RUNS_AT_ONCE]
+            runs = [some[i : i + WORDS_AT_ONCE] for i in range(0, len(some), WORDS_AT_ONCE)]
+            for run, found in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+                ids = np.array(found.ids, np.uint32)
+                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cuts) == len(run):
+                    flat = ids.tobytes()
+                    out.extend(flat[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts))
+                else:  # a word without such an end: one by one
+                    out.extend(np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(run, add_special_tokens=False))
         return out
 
 
@@ -98,13 +102,13 @@ def token_ids(texts: list[str], words: Words, memo: Memo) -> list[np.ndarray]:
         which, values = memo.look(slice_hashes(codes, s, e), lambda p: words.ids([whole[a:b] for a, b in zip(s[p].tolist(), e[p].tolist())]))
     for p in special.tolist():  # added tokens stand as segments of their own
         which = np.append(which, len(values))
-        values = [*values, np.array([marks[ord(whole[p])]], np.uint32)]
+        values = [*values, np.array([marks[ord(whole[p])]], np.uint32).tobytes()]
         s = np.append(s, p)
     if len(special):
         order = np.argsort(s, kind="stable")
         s, which = s[order], which[order]
-    lengths = np.array([len(v) for v in values], np.int64)
-    pool = np.concatenate([*values, np.empty(0, np.uint32)])
+    lengths = np.array([len(v) // 4 for v in values], np.int64)
+    pool = np.frombuffer(b"".join(values), np.uint32)
     first = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(values) else np.empty(0, np.int64)
     n = lengths[which] if len(values) else np.empty(0, np.int64)
     sums = np.concatenate([[0], np.cumsum(n)])
@@ -117,6 +121,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str =
     """Rows (doc_id, piece, start, length, ids_crc32), with ``ids`` also the ids: a document's ids
     and a closing 0, cut after every ``capacity`` of them."""
     kind = df.schema[doc_id].dataType.simpleString()
+    small_batches(df.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, memo = load(path), Memo(HELD)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, small_batches
 from .scan import Memo, batches, joined, slice_hashes
 
 SPACE = "▁"
@@ -155,6 +155,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: bool = False) -> D
     made = ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if ids else ()))
     keep = [c for c in df.columns if c not in (text, *made)]
 
+    small_batches(df.sparkSession)
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, memo = load(path), Memo(600_000)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 from .scan import ADDED, Memo, batches, joined, slice_hashes, token_starts
 
 LIMIT = 1024
@@ -179,6 +179,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens`` in place of the text column."""
     keep = [c for c in df.columns if c not in (text, "n_tokens")]
 
+    small_batches(df.sparkSession)
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         transducer, added = load(path)
         memo = Memo()
