@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import letters_only
+
 
 def difficulty(attributes: Column, axes: Column, variants: Column, chars: Column, overlap: Column) -> Column:
     """NUM18."""
@@ -25,12 +27,18 @@ def tags(flags: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()])))
 
 
-def family_id(leaf: Column, shop: Column, title: Column) -> Column:
-    """SM21: 20 hex digits over the leaf category, the shop without its suffix, and the title's first 48
-    characters with digits masked."""
-    name = F.regexp_replace(F.lower(shop), "(旗舰店|专卖店|专营店|店)$", "")
-    masked = F.substring(F.regexp_replace(F.lower(title), "[0-9]+", "#"), 1, 48)
-    return F.left(F.sha2(F.concat_ws("|", leaf, name, masked), 256), F.lit(20))
+#: Endings of shop names (the last only at the end).
+SHOP_WORDS = "官方旗舰店|旗舰店|专卖店|专营店|企业店|店$"
+
+
+def family_id(category: Column, shop: Column, title: Column) -> Column:
+    """SM21: 20 hex digits over the leaf of a ``›`` path, the shop without its kind, and the title with numbers
+    masked; each as letters, digits and Han only, the title cut to 48 of them after that."""
+    part = lambda c: letters_only(F.coalesce(c, F.lit("")))
+    leaf = F.element_at(F.split(F.coalesce(category, F.lit("")), "›"), -1)
+    masked = F.regexp_replace(F.coalesce(title, F.lit("")), "[0-9]+(?:\\.[0-9]+)?", "#")
+    name = F.regexp_replace(F.coalesce(shop, F.lit("")), SHOP_WORDS, "")
+    return F.left(F.sha2(F.concat_ws("|", part(leaf), part(name), F.substring(part(masked), 1, 48)), 256), F.lit(20))
 
 
 def strict(*checks: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import retrieval
+from .options import _PLAIN, _WIDE
 
 #: Fields of the index and their weights; price of a product without one.
 WEIGHTS = {"title": 3.0, "brand": 2.0, "category": 2.0, "model": 2.5, "attributes": 1.5, "options": 1.2, "bullets": 0.8}
@@ -73,20 +74,62 @@ def search(products: DataFrame, postings: DataFrame, query: str, k: int = 150) -
     return products.join(F.broadcast(ranked), "asin").orderBy("rank")  # at most k rows
 
 
-def brand_verdict(required: Column, brands: list[Column], aliases: dict[str, str]) -> Column:
-    """SC1: equal after aliases, over any of the columns that may name the brand."""
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
-    known = lambda c: c if table is None else F.coalesce(F.try_element_at(table, c), c)
-    have = F.array_compact(F.array(*[F.nullif(F.lower(F.trim(b)), F.lit("")) for b in brands]))
-    want = known(F.lower(F.trim(required)))
-    return F.when(F.size(have) == 0, "unverifiable").when(F.exists(have, lambda b: known(b) == want), "pass").otherwise("fail")
+def plain(c: Column, space: str = "") -> Column:
+    """STR1 within expressions: full-width characters as ASCII, lower case, white space dropped (or one ``space``)."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(c, _WIDE, _PLAIN)), "[\\s\u00a0\u3000]+", space))
 
 
-def model_verdict(required: Column, title: Column) -> Column:
-    """SC2: every token of the required model stands in the title as a token of its own."""
-    have = F.regexp_extract_all(F.lower(title), F.lit("([a-z0-9]+)"), F.lit(1))
-    want = F.regexp_extract_all(F.lower(required), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.when((F.size(want) == 0) | title.isNull(), "unverifiable").when(F.forall(want, lambda w: F.array_contains(have, w)), "pass").otherwise("fail")
+def _alias_table(aliases: dict[str, str]):
+    """A name's canonical form: itself if no alias."""
+    if not aliases:
+        return lambda c: c
+    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return lambda c: F.coalesce(F.try_element_at(table, c), c)
+
+
+def flat_aliases(listed: dict[str, list[str]]) -> dict[str, str]:
+    """MAP1: alias -> canonical name, the canonical one included, all without case and spaces."""
+    form = lambda t: "".join(text.fold(t).split())
+    return {form(a): form(name) for name, others in listed.items() for a in (name, *others)}
+
+
+def brand_verdict(required: Column, brand: Column, shop: Column, aliases: dict[str, str]) -> Column:
+    """SC1: equal after aliases; the shop counts only where no brand is given."""
+    known = _alias_table(aliases)
+    have, want = plain(F.coalesce(F.nullif(brand, F.lit("")), shop)), plain(required)
+    unknown = (F.coalesce(have, F.lit("")) == "") | (F.coalesce(want, F.lit("")) == "")
+    return F.when(unknown, "unverifiable").when(known(have) == known(want), "pass").otherwise("fail")
+
+
+#: Words before a name that say what a product goes with, not what it is.
+GOES_WITH = ("适用", "适配", "兼容", "用于", "可用", "替代")
+
+
+def brand_evidence(expected: Column, brand: Column, shop: Column, title: Column, attributes: Column, aliases: dict[str, str]) -> Column:
+    """SC5: any alias of the brand in brand or shop, in the title (not after a word of ``GOES_WITH``), or as
+    a whole attribute."""
+    want = plain(expected)
+    names = F.array(want)
+    if aliases:
+        known = _alias_table(aliases)
+        pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in aliases.items()])
+        names = F.array_distinct(F.concat(F.transform(F.filter(pairs, lambda p: (p["c"] == known(want)) & (F.length(p["a"]) >= 2)), lambda p: p["a"]), names))
+    names = F.filter(names, lambda n: n != "")
+    structured, heading = plain(F.concat_ws(" ", brand, shop)), plain(F.coalesce(title, F.lit("")))
+    own = F.regexp_replace(heading, f"({'|'.join(GOES_WITH)})", "\u0001")
+    # an alias counts where the mark of a compatibility word does not stand right before it
+    bare = lambda n: F.length(F.replace(own, n, F.lit(""))) < F.length(F.replace(own, F.concat(F.lit("\u0001"), n), F.lit("\u0001")))
+    listed = F.coalesce(F.transform(attributes, plain), F.array().cast("array<string>"))
+    return F.when(F.exists(names, lambda n: F.contains(structured, n) | bare(n) | F.array_contains(listed, n)), "pass").otherwise("fail")
+
+
+def model_verdict(required: Column, model: Column, title: Column) -> Column:
+    """SC2: the required model stands in the model (the title if there is none) with no letter or digit right
+    before or after it; a model with other characters must be equal."""
+    need, hay = plain(required, " "), plain(F.coalesce(F.nullif(model, F.lit("")), title), " ")
+    bounded = F.regexp_like(hay, F.concat(F.lit("(?<![a-z0-9])\\Q"), need, F.lit("\\E(?![a-z0-9])")))
+    unknown = (F.coalesce(need, F.lit("")) == "") | (F.coalesce(hay, F.lit("")) == "")
+    return F.when(unknown, "unverifiable").when(F.when(F.regexp_like(need, F.lit("^[a-z0-9._+-]+$")), bounded).otherwise(need == hay), "pass").otherwise("fail")
 
 
 def range_mismatch(pricing: Column, options: Column) -> Column:

@@ -360,10 +360,12 @@ def json_args(spark, sf_dir):
 
 _TERMINAL = """WITH c AS (SELECT user_id, count(*) AS steps,
   count(*) FILTER (event_type = 'error' AND value > 200) AS hard_fail, count(*) FILTER (event_type = 'error' AND value BETWEEN 150 AND 200) AS hard_unknown,
+  count(*) FILTER (event_type = 'error' AND value < 150) AS hard_pass, count(*) FILTER (event_type = 'view' AND value > 250) AS review,
   count(*) FILTER (event_type = 'click' AND value < 60) AS soft_pass, count(*) FILTER (event_type = 'click' AND value >= 60) AS soft_fail FROM events GROUP BY user_id),
 k AS (SELECT *, CASE WHEN soft_pass + soft_fail > 0 THEN soft_pass / (soft_pass + soft_fail) ELSE 1.0 END AS soft,
-  CASE WHEN hard_fail > 0 THEN 'wrong_purchase' WHEN hard_unknown > 0 THEN 'reward_unverifiable' WHEN soft_fail > 0 THEN 'partial_purchase' WHEN user_id % 2 = 0 THEN 'gold_purchase' ELSE 'valid_alternative_purchase' END AS reward_type FROM c)
-SELECT user_id, reward_type, round(CASE reward_type WHEN 'wrong_purchase' THEN -1.0 WHEN 'reward_unverifiable' THEN 0.0 WHEN 'partial_purchase' THEN 0.5 + 0.3 * soft WHEN 'gold_purchase' THEN 1.0 ELSE 0.8 END
+  CASE WHEN hard_fail > 0 THEN 'wrong_purchase' WHEN hard_unknown > 0 OR review > 0 THEN 'reward_unverifiable' WHEN hard_pass = 0 THEN 'wrong_purchase'
+   WHEN user_id % 2 = 0 THEN 'gold_purchase' WHEN soft_fail > 0 THEN 'partial_alternative_purchase' ELSE 'valid_alternative_purchase' END AS reward_type FROM c)
+SELECT user_id, reward_type, round(CASE reward_type WHEN 'wrong_purchase' THEN -1.0 WHEN 'reward_unverifiable' THEN 0.0 WHEN 'partial_alternative_purchase' THEN 0.5 + 0.3 * soft WHEN 'gold_purchase' THEN 1.0 ELSE 0.8 END
   - CASE WHEN reward_type = 'reward_unverifiable' THEN 0 ELSE greatest(0, least(steps, 20) - 15) * 0.01 + greatest(0, least(steps, 25) - 20) * 0.02 + greatest(0, least(steps, 30) - 25) * 0.03
    + greatest(0, least(steps, 35) - 30) * 0.04 + greatest(0, least(steps, 40) - 35) * 0.05 + greatest(0, least(steps, 45) - 40) * 0.06 END, 6)::DOUBLE AS utility FROM k"""
 
@@ -372,7 +374,7 @@ SELECT user_id, reward_type, round(CASE reward_type WHEN 'wrong_purchase' THEN -
 def terminal_class(spark, sf_dir):
     """SC18, NUM15, X31: events as constraint verdicts."""
     e, v = F.col("event_type"), F.col("value")
-    strength = F.when(e == "error", "hard").when(e == "click", "soft")
+    strength = F.when(e == "error", "hard").when(e == "click", "soft").when((e == "view") & (v > 250), "needs_review")
     status = F.when((e == "error") & (v > 200), "fail").when((e == "error") & v.between(150, 200), "unverifiable").when(e == "error", "pass").when((e == "click") & (v < 60), "pass").when(e == "click", "fail")
     rows = read(spark, sf_dir, "events").select("user_id", strength.alias("strength"), status.alias("status"))
     counts = scoring.combine(rows, "user_id").join(rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("steps")), "user_id")
@@ -380,12 +382,17 @@ def terminal_class(spark, sf_dir):
     return out.select("user_id", "reward_type", F.round("utility", 6).alias("utility"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN 'unverifiable' WHEN p_retailprice <= 950 THEN 'pass' ELSE 'fail' END AS verdict FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'pass' WHEN 1 THEN 'unverifiable' WHEN 2 THEN 'unverifiable' WHEN 3 THEN 'unverifiable' WHEN 4 THEN CASE WHEN p_retailprice < 950 THEN 'pass' ELSE 'fail' END
+ WHEN 5 THEN CASE WHEN p_retailprice >= 950 THEN 'pass' ELSE 'fail' END WHEN 6 THEN CASE WHEN p_retailprice BETWEEN 900 AND 1000 THEN 'pass' ELSE 'fail' END WHEN 7 THEN 'unverifiable' WHEN 8 THEN 'unverifiable'
+ ELSE CASE WHEN p_retailprice <= 950 THEN 'pass' ELSE 'fail' END END AS verdict FROM part""")
 def price_gate(spark, sf_dir):
-    """SC11."""
-    want = F.struct(F.lit("lte").alias("operator"), F.lit(950.0).alias("value"), F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"))
-    price = F.when(F.col("p_size") <= 40, F.col("p_retailprice"))
-    return read(spark, sf_dir, "part").select("p_partkey", scoring.price_gate(price, want).alias("verdict"))
+    """SC11: no budget, unknown and negative prices, bounds that make no sense, and the operators."""
+    cases = [(0, None, None, None, None), (1, "lte", 950.0, None, None), (2, "lte", 950.0, None, None), (3, "lte", 0.0, None, None), (4, "lt", 950.0, None, None), (5, "gte", 950.0, None, None), (6, "between", None, 900.0, 1000.0), (7, "approximately", None, 1000.0, 900.0), (8, "eq", 950.0, None, None), (9, "lte", 950.0, None, None)]
+    table = spark.createDataFrame(cases, "c int, operator string, value double, min double, max double")
+    rows = read(spark, sf_dir, "part").withColumn("c", (F.col("p_partkey") % 10).cast("int")).join(F.broadcast(table), "c")  # ten rows
+    want = F.when(F.col("operator").isNotNull(), F.struct("operator", "value", "min", "max"))
+    price = F.when(F.col("c") == 1, F.lit(None)).when(F.col("c") == 2, -1.0).otherwise(F.col("p_retailprice"))
+    return rows.select("p_partkey", scoring.price_gate(price, want).alias("verdict"))
 
 
 @query("""SELECT p_partkey, round(CASE WHEN p_size > 10 THEN ((CASE WHEN p_size > 10 THEN 0.25 * (p_size / 50.0) ELSE 0 END) + 0.25 * (p_retailprice / 2000.0)) / 0.5 ELSE p_retailprice / 2000.0 END, 6) AS score FROM part""")
@@ -405,21 +412,35 @@ def reason_codes(spark, sf_dir):
 # --- groups ---------------------------------------------------------------------------------------------
 
 
-@query("""WITH g AS (SELECT user_id, max((event_type = 'error' AND value > 300)::INT) AS u, count(*) FILTER (NOT (event_type = 'error')) AS v, max((event_type = 'error')::INT) AS i, max(value) - min(value) AS spread FROM events GROUP BY user_id)
-SELECT user_id, round(spread, 6) AS spread, CASE WHEN u = 1 THEN 'unverifiable' WHEN v = 0 THEN 'no_valid_row' WHEN spread <= 150 THEN 'no_variation' WHEN i = 1 THEN 'invalid_row' END AS drop_reason FROM g""")
+@query("""WITH g AS (SELECT user_id, bool_or(event_type = 'error' AND value > 300) AS u, bool_or(event_type = 'purchase') AS w, bool_or(event_type = 'error') AS i, max(value) - min(value) AS spread FROM events GROUP BY user_id)
+SELECT user_id, round(spread, 6) AS spread, CASE WHEN u THEN 'forbidden_trajectory_in_group' WHEN NOT w THEN 'no_purchase_success' WHEN spread <= 150 THEN 'low_reward_variation' WHEN i THEN 'sampling_invalid' END AS drop_reason FROM g""")
 def group_variation_filter(spark, sf_dir):
     """The group filter of §2.8."""
     rows = read(spark, sf_dir, "events").select("user_id", "value", (F.col("event_type") == "error").alias("bad"), ((F.col("event_type") == "error") & (F.col("value") > 300)).alias("unknown"), (F.col("event_type") == "purchase").alias("won"))
-    return groups.group_verdicts(rows, "user_id", "value", "bad", "unknown", "won", 150.0).select("user_id", F.round("spread", 6).alias("spread"), "drop_reason")
+    return groups.group_verdicts(rows, "user_id", "value", "bad", "unknown", "won", 150.0, True).select("user_id", F.round("spread", 6).alias("spread"), "drop_reason")
 
 
-@query("""WITH a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS attempt FROM events),
-r AS (SELECT user_id, attempt // 4 AS round, count(*) AS n, max(value) - min(value) AS spread FROM a GROUP BY ALL)
-SELECT user_id, min(round) FILTER (n = 4 AND spread > 120) AS admitted_round, count(*) AS rounds FROM r GROUP BY user_id""")
+_ADMISSION = """WITH a AS (SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS attempt FROM events),
+f AS (SELECT * FROM a WHERE attempt < 10 + user_id % 5 AND user_id % 11 <> 0 UNION ALL SELECT * FROM a WHERE attempt = 1 AND user_id % 13 = 0 AND user_id % 11 <> 0),
+r AS (SELECT user_id, attempt // 4 AS round, count(*) AS n, count(DISTINCT attempt) AS d, bool_or(event_type = 'error') AS bad, max(value) - min(value) AS spread, stddev_pop(value) AS sd, count(*) FILTER (event_type IN ('purchase', 'click')) AS won FROM f GROUP BY ALL),
+v AS (SELECT *, n = 4 AND d = 4 AND NOT bad AND spread > 80 AND round < 3 AS varied FROM r),
+t AS (SELECT user_id, min(round) FILTER (varied AND won > 0) AS hit, coalesce(bool_or(varied AND won = 0), false) AS lost, count(*) AS rounds FROM v GROUP BY user_id)
+SELECT u.user_id, CASE WHEN hit IS NOT NULL THEN 'accept' WHEN t.user_id IS NULL OR rounds < 3 THEN 'reprobe' ELSE 'reject' END AS decision,
+ CASE WHEN t.user_id IS NULL THEN 'no_trajectories' WHEN hit IS NOT NULL THEN 'valid_reward_variation' WHEN lost AND rounds < 3 THEN 'no_gold_trajectory_yet' WHEN lost THEN 'three_attempts_without_gold_or_valid_purchase'
+  WHEN rounds < 3 THEN 'attempt_invalid_or_low_reward_variation' ELSE 'three_attempts_without_valid_reward_variation' END AS reason,
+ CASE WHEN hit IS NOT NULL THEN CASE WHEN v.won < 4 THEN 'frontier' ELSE 'regression_guard' END WHEN t.user_id IS NULL OR rounds < 3 THEN 'unresolved' ELSE 'quarantine' END AS probe_role, hit AS accepted_round, round(v.sd, 6) AS sd
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN t ON t.user_id = u.user_id LEFT JOIN v ON v.user_id = u.user_id AND v.round = t.hit"""
+
+
+@query(_ADMISSION)
 def admission_rounds(spark, sf_dir):
-    """NUM23, admission of §2.8."""
-    rows = read(spark, sf_dir, "events").withColumn("attempt", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1)
-    return groups.first_acceptable_round(rows, "user_id", "attempt", 4, "value", 120.0)
+    """NUM23, JN7, admission of §2.8: events as attempts, some of them missing or doubled."""
+    e = read(spark, sf_dir, "events")
+    a = e.withColumn("attempt", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).filter("user_id % 11 <> 0")
+    a = a.filter(F.col("attempt") < 10 + F.col("user_id") % 5).unionByName(a.filter("attempt = 1 and user_id % 13 = 0"))
+    a = a.select("user_id", "attempt", "value", F.col("event_type").isin("purchase", "click").alias("won"), F.when(F.col("event_type") == "error", F.array(F.lit("error"))).alias("reasons"))
+    out = groups.decide(e.select("user_id").distinct(), a, "user_id", attempt="attempt", utility="value", success="won", reasons="reasons", tolerance=80.0)
+    return out.select("user_id", "decision", "reason", "probe_role", "accepted_round", F.round("sd", 6).alias("sd"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------

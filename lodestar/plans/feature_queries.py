@@ -25,10 +25,12 @@ def feature_tags(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", features.count_true(*flags.values()).alias("n"), features.tags(flags).alias("tags"))
 
 
-@query("SELECT p_partkey, left(sha256(p_type || '|' || lower(p_brand) || '|' || left(regexp_replace(lower(p_name || p_size), '[0-9]+', '#', 'g'), 48)), 20) AS family FROM part")
+@query("""SELECT p_partkey, left(sha256(regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') || '|' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || '|'
+ || left(regexp_replace(regexp_replace(lower(p_name || ' 2.5x' || p_size), '[0-9]+(\\.[0-9]+)?', '#', 'g'), '[^a-z0-9]', '', 'g'), 48)), 20) AS family FROM part""")
 def family_ids(spark, sf_dir):
     """SM21."""
-    return read(spark, sf_dir, "part").select("p_partkey", features.family_id(F.col("p_type"), F.col("p_brand"), F.concat("p_name", F.col("p_size").cast("string"))).alias("family"))
+    category, shop = F.concat(F.lit("all›"), "p_type"), F.concat("p_brand", F.lit("官方旗舰店"))
+    return read(spark, sf_dir, "part").select("p_partkey", features.family_id(category, shop, F.concat("p_name", F.lit(" 2.5x"), F.col("p_size").cast("string"))).alias("family"))
 
 
 @query("""WITH l AS (SELECT user_id, coalesce(lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id), false) AS f FROM events) SELECT user_id, count(*) FILTER (f) AS n FROM l GROUP BY user_id""")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import numbers, price, text
-from lodestar.operators import scoring
+from lodestar.operators import options, scoring
 
 
 @pytest.mark.parametrize(
@@ -71,10 +71,10 @@ def test_rank_bucket_rejects_zero(spark):
 
 
 def test_failure_wins_over_unverifiable(spark):
-    rows = spark.createDataFrame([("a", "hard", "fail"), ("a", "hard", "unverifiable"), ("b", "hard", "unverifiable"), ("c", "soft", "fail"), ("c", "soft", "pass"), ("d", "hard", "pass")], "k string, strength string, status string")
+    rows = spark.createDataFrame([("a", "hard", "fail"), ("a", "hard", "unverifiable"), ("b", "hard", "unverifiable"), ("c", "soft", "fail"), ("c", "soft", "pass"), ("c", "hard", "pass"), ("d", "hard", "pass"), ("d", "soft", "fail"), ("e", "soft", "pass"), ("f", "hard", "pass"), ("f", "needs_review", "unverifiable")], "k string, strength string, status string")
     out = scoring.terminal_class(scoring.combine(rows, "k"), F.col("k") == "d", F.lit(0))
     got = {r.k: (r.reward_type, r.utility) for r in out.collect()}
-    assert got == {"a": ("wrong_purchase", -1.0), "b": ("reward_unverifiable", 0.0), "c": ("partial_purchase", 0.65), "d": ("gold_purchase", 1.0)}
+    assert got == {"a": ("wrong_purchase", -1.0), "b": ("reward_unverifiable", 0.0), "c": ("partial_alternative_purchase", 0.65), "d": ("gold_purchase", 1.0), "e": ("wrong_purchase", -1.0), "f": ("reward_unverifiable", 0.0)}
 
 
 def test_variant_price_ladder(spark):
@@ -82,6 +82,6 @@ def test_variant_price_ladder(spark):
     two = {"size": [("S", 10.0, True), ("L", 12.0, None)]}
     rows = [(0, two, {"size": "L"}, [({"size": "L"}, 11.0)], [9.0]), (1, two, {"size": "L"}, [], [9.0]), (2, {"size": [("S", 7.0, True)]}, {}, [], []), (3, {}, {}, [], [9.0]), (4, {}, {}, [], [9.0, 10.0])]
     df = spark.createDataFrame(rows, schema)
-    got = {r.i: r.p for r in df.select("i", scoring.variant_price(F.col("o"), F.col("s"), F.col("c"), F.col("b")).alias("p")).collect()}
+    got = {r.i: r.p for r in df.select("i", options.resolve_price(F.col("o"), F.col("s"), F.col("c"), F.col("b"))["price"].alias("p")).collect()}
     assert got == {0: 11.0, 1: 12.0, 2: 7.0, 3: 9.0, 4: None}
     assert df.select(scoring.cheapest_options(F.col("o")).alias("x")).first().x == {"size": "S"}

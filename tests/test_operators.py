@@ -13,7 +13,7 @@ def test_group_filter_precedence(spark):
     rows = [("a", 0.0, False, False, True), ("a", 0.02, False, False, True), ("b", 0.0, False, False, False), ("b", 1.0, False, False, True), ("c", 0.0, True, False, False), ("c", 1.0, False, False, True), ("d", 0.0, True, True, False), ("d", 0.0, True, False, False)]
     df = spark.createDataFrame(rows, "uid string, u double, bad boolean, unknown boolean, won boolean")
     got = {r.uid: r.drop_reason for r in groups.group_verdicts(df, "uid", "u", "bad", "unknown", "won", 0.021).collect()}
-    assert got == {"a": "no_variation", "b": None, "c": "invalid_row", "d": "unverifiable"}
+    assert got == {"a": "low_reward_variation", "b": None, "c": "sampling_invalid", "d": "forbidden_trajectory_in_group"}
     kept = groups.varying_groups(df, "uid", utility="u", invalid="bad", unverifiable="unknown", success="won", tolerance=0.021, need_success=True)
     assert {r.uid for r in kept.collect()} == {"b"}
 

@@ -40,6 +40,6 @@ def test_fields_and_search(catalog):
 
 def test_verdicts(catalog):
     aliases = {"acme旗舰店": "acme"}
-    out = catalog.select("asin", products.brand_verdict(F.lit("ACME"), [F.col("brand"), F.col("shop_name")], aliases).alias("b"), products.model_verdict(F.lit("gpt-4"), F.col("title")).alias("m"), products.range_mismatch(F.col("pricing"), F.col("customization_options")).alias("r"))
+    out = catalog.select("asin", products.brand_verdict(F.lit("ACME"), F.col("brand"), F.col("shop_name"), aliases).alias("b"), products.model_verdict(F.lit("gpt-4"), F.lit(None).cast("string"), F.col("title")).alias("m"), products.range_mismatch(F.col("pricing"), F.col("customization_options")).alias("r"))
     got = {r.asin: (r.b, r.m, r.r) for r in out.collect()}
     assert got == {"10000001": ("pass", "pass", True), "10000002": ("fail", "fail", False)}
