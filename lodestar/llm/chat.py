@@ -47,12 +47,14 @@ def _range(lo: Column, hi: Column) -> Column:
     return F.when(hi < lo, F.array().cast("array<int>")).otherwise(F.sequence(lo.cast("int"), hi.cast("int")))
 
 
-def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conv_id, window (from 0), formatted, n_repeated (turns at its head that
+def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
+    """``tokens`` names a column of token counts of the turns; without one, a quarter of a text's bytes is taken
+    as an estimate, as no tokenizer runs in built-in expressions.  One row per window: conv_id, window (from 0), formatted, n_repeated (turns at its head that
     stood in an earlier window), loss (array of start, length in code points of ``formatted``)."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    count = F.ceil(F.octet_length(text) / 4) if tokens is None else F.coalesce(F.col(f"`{tokens}`"), F.lit(0))
     turns = df.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns")
+        F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text"), count.alias("count")))).alias("turns")
     )
     shown = F.transform(
         "turns",
@@ -61,7 +63,7 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
             F.concat(header(t["role"]), escape(t["text"]), F.lit(END)).alias("out"),
             F.length(header(t["role"])).alias("head"),
             F.length(escape(t["text"])).alias("body"),
-            (F.ceil(F.octet_length(t["text"]) / 4) + TURN_COST).cast("long").alias("tokens"),
+            (t["count"] + TURN_COST).cast("long").alias("tokens"),
         ),
     )
     rows = turns.select("conv_id", shown.alias("t")).withColumn("n", F.size("t")).withColumn("system", (F.col("t")[0]["role"] == "system").cast("int"))
@@ -125,6 +127,9 @@ def read_back(shown: DataFrame) -> DataFrame:
 
 
 def op9_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all conversations, read back.  Null texts and roles are empty, a null conversation id is one
+    conversation, equal turns are ordered by role and text, repeated rows are repeated turns, a very long turn
+    has a window of its own; an empty table gives conversation -7 alone; other columns are not read."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)

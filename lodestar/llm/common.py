@@ -15,11 +15,14 @@ ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster; a temporary one only where none is configured and all runs in
+    one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("lodestar.work.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("lodestar.work.dir", found)
     return found.rstrip("/")
@@ -30,7 +33,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     executor costs a reread, not a recomputation."""
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a stash that nothing reads any more."""
+    spark, path = df.sparkSession, df._stashed
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

@@ -2,7 +2,7 @@
 
 Each node hands its neighbours the least node it knows, first to the larger ones, then to the
 smaller ones, until the edges form stars around the least node of every component.  Each round is
-written to the shared folder; nothing but a checksum comes to the driver.
+written to the shared folder, and the one before it deleted; nothing but a checksum comes to the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import forget, stash
 
 MOST_ROUNDS = 40
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = stash(_small(_large(now)), label)
+        last, now = now, stash(_small(_large(now)), label)
+        forget(last)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))

@@ -140,6 +140,9 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms.  Null texts are empty and have a fingerprint of their
+    own; equal texts have equal ones, whatever their length; rows of equal or null ids stay as they are, ordered by
+    their text among each other; an empty table gives no rows; other columns are not read."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs)
     changed = edited(F.col("text"), F.coalesce("next", F.lit("")))

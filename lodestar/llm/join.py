@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, shuffle_partitions, small_batches, stash
+from .common import broadcast_if_small, documents, fresh, shuffle_partitions, small_batches, stash
 from .components import components
 from .scan import batches
 from .shingles import shingle_sets
@@ -245,12 +245,16 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """``df`` with one document of each class, the one whose id is the class id.  Rows with null ids
     go if their class has an id, and stay otherwise; of repeated rows one stays."""
     found = stash(links(df, text, doc_id), "links")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
+    lost_id, lost_text = fresh(df, "lost_id", "lost_text")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(lost_id), F.col("text_id").alias(lost_text)).distinct()
     n_gone, copies = found.agg(F.count(F.when(~F.col("doc_id").eqNullSafe(F.col("class_id")), 1)), F.count(F.lit(1)) - F.countDistinct(F.struct("doc_id", "text_id"))).first()
-    same = df[doc_id].cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(df[text]).eqNullSafe(F.col("__text")) & df[text].isNotNull()
+    same = df[doc_id].cast("long").eqNullSafe(F.col(lost_id)) & F.xxhash64(df[text]).eqNullSafe(F.col(lost_text)) & df[text].isNotNull()
     out = df.join(broadcast_if_small(gone, n_gone, 24), same, "left_anti")
     return out.dropDuplicates([doc_id, text]) if copies else out
 
 
 def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document.  Null texts and null ids as in the module's text; ties have no part, as
+    links are counted in full; repeated rows share class and links; very long texts are taken whole; an empty table
+    gives no rows; other columns are not read."""
     return links(documents(spark, sf_dir).select("doc_id", "text"))

@@ -212,6 +212,9 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
 
 
 def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document.  Null texts, and texts without a letter, are ``und``; labels of equal share
+    go to the first in order of names; repeated rows, very long texts and null ids are predicted like others; an empty
+    table gives no rows; only id, text and (to learn) language are read."""
     docs = documents(spark, sf_dir)
     model = learn(sample(docs))
     out = identify(docs.select("doc_id", "text", held_out().alias("held_out")), model)

@@ -209,6 +209,9 @@ def drop_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from every document.  Null and empty texts drop none; of equal lines the first in the document
+    of least id stays, and of repeated rows each keeps it; very long texts are cut into lines like others; an empty table
+    gives no rows; other columns are not read."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = drop_lines(docs)
     kept = F.coalesce(F.col("text"), F.lit(""))

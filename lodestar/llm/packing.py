@@ -3,9 +3,11 @@
 Documents become token pieces of at most the capacity.  How many pieces there are of each length
 is all that packing depends on, and it is at most ``capacity`` numbers, however large the corpus.
 The plan is made from these counts: first the reduction of Martello and Toth fixes sets that
-dominate every other set holding a given length (full pieces; two lengths that fill a sequence; a
-length that nothing fits with; a best partner where no two others fit), then best-fit decreasing
-places the rest, whole runs of equal sequences at a time.  The plan is a list of runs: so many
+dominate every other set holding a given length, for each length from the largest down (full pieces;
+two lengths that fill a sequence; a length that nothing fits with; a best partner that no set of
+others which fit exceeds in sum), then best-fit decreasing places the rest, whole runs of equal
+sequences at a time.  A corpus with pieces of one token to spare has only pairs of the first kind,
+as such pieces fill any room.  The plan is a list of runs: so many
 pieces of a length go to consecutive sequences, each at the same offsets.  Pieces get their rank
 within their length from counts by hash bucket, and look their place up in the plan.
 
@@ -182,21 +184,34 @@ class Plan:
                 self.fix((x, y), min(self.left[x], self.left[y]))
             elif x == y and self.left[x] > 1:
                 self.fix((x, x), self.left[x] // 2)
-        while self.left:
-            x = max(self.left)
-            room, sizes = self.capacity - x, sorted(self.left)
-            others = [s for s in sizes if s != x or self.left[x] > 1]
-            fit = [s for s in others if s <= room]
-            if not fit:
-                self.fix((x,), self.left[x] if x > self.capacity // 2 else 1)
-                continue
-            smallest = fit[0]
-            again = self.left[smallest] - (smallest == x)
-            second = smallest if again > 1 else (fit[1] if len(fit) > 1 else self.capacity)
-            if smallest + second <= room:
-                return  # two others fit beside the largest: nothing is known to dominate
-            best = fit[-1]
-            self.fix((x, best), 1 if best == x else min(self.left[x], max(1, self.left[best] - 2 if best in (smallest, second) else self.left[best])))
+        for x in sorted(self.left, reverse=True):
+            while x in self.left:
+                room = self.capacity - x
+                others = {k: n - (k == x) for k, n in self.left.items() if k <= room and n > (k == x)}
+                if not others:
+                    self.fix((x,), self.left[x] if x > room else 1)
+                    continue
+                best = max(others)
+                if self._most(others, room) > best:
+                    break  # several others fill the room better than one: nothing is known to dominate
+                # taking pieces away leaves the best partner best, as long as there is one
+                self.fix((x, best), self.left[x] // 2 if best == x else min(self.left[x], self.left[best]))
+
+    @staticmethod
+    def _most(counts: dict[int, int], room: int) -> int:
+        """The largest sum of pieces that is not above the room."""
+        reach, within = 1, (1 << room + 1) - 1
+        for k, n in sorted(counts.items()):
+            n = min(n, room // k)
+            step = 1
+            while n:  # one piece, then two, then four...: every number of them
+                take = min(step, n)
+                reach |= reach << take * k & within
+                n -= take
+                step *= 2
+            if reach >> room & 1:
+                return room
+        return reach.bit_length() - 1
 
     def best_fit(self) -> None:
         open_: list[tuple[int, int, int]] = []  # (room, first sequence, sequences)
@@ -264,4 +279,7 @@ def pack_documents(df: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 
 def op4_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places.  Null texts are empty: one closing token; pieces of equal length
+    are placed by hash bucket and id; repeated rows are packed each; long texts are cut as they must; an empty table
+    gives no rows; other columns are not read."""
     return pack_documents(documents(spark, sf_dir).select("doc_id", "text"))

@@ -112,6 +112,10 @@ class Pieces:
         for s, own, theirs in zip(segments, found, self.library.encode(plain, num_threads=1)):
             if own != (theirs or [self.library.piece_to_id(s)]):  # the library encodes no empty text
                 raise ValueError(f"segment {s!r}: {own} differs from the library's {theirs}")
+        shown = self.library.decode(found, num_threads=1) if found else []
+        for s, ids, theirs in zip(segments, found, shown):
+            if self.decode(ids) != " " + theirs:  # the library drops the space that leads a text
+                raise ValueError(f"segment {s!r}: {self.decode(ids)!r} differs from the library's {theirs!r}")
         return [(len(ids), " ".join(map(str, ids)), self.decode(ids)) for ids in found]
 
 
@@ -178,6 +182,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: bool = False) -> D
 
 
 def op8_agenda_pieces(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Ids and decoded text of every document.  Null texts are empty: an end id alone; pairs of equal score join
+    from the left; repeated rows and very long texts are encoded like others; an empty table gives no rows; other columns
+    are not read."""
     if path is None:
         import public_tokenizers
 

@@ -180,6 +180,9 @@ def learned_rules(spark: SparkSession, sf_dir: str, docs: DataFrame | None = Non
 
 
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document.  Null texts have no words and fail the base rule; conditions of
+    equal worth are taken in order of their names; repeated rows are judged alike; very long texts are read whole; an empty
+    table gives no rows, and without labels nothing but the base rule rejects; other columns are not read."""
     rules = learned_rules(spark, sf_dir)
     out = with_statistics(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", *STATISTICS, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))

@@ -193,6 +193,8 @@ def token_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def op3_transducer_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Bytes and tokens of every document.  Null texts are empty, with no token; repeated rows and very long texts
+    are counted like others, ties have no part; an empty table gives no rows; other columns are not read."""
     if path is None:
         import public_tokenizers
 

@@ -1,10 +1,12 @@
 """Document operators against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SCHEMA, prose
 from pyspark.sql import functions as F
@@ -293,3 +295,40 @@ def test_keep_one(spark, docs):
 
 def test_fixture_has_clashing_columns(docs):
     assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_windows_hold_budget_history_and_masks(spark):
+    turns = [(1, 0, "system", "rules", 3)] + [(1, k, "user" if k % 2 else "assistant", f"turn {k}", 5 + k % 4) for k in range(1, 30)] + [(1, 30, "user", "long", 90)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, c long")
+    shown = [r.asDict() for r in chat.windows(rows, budget=64, history=20, tokens="c").orderBy("window").collect()]
+    cost = {t[3]: t[4] + chat.TURN_COST for t in turns}
+    seen, learned = [], []
+    for k, w in enumerate(shown):
+        said = [p.split("|>", 1)[1] for p in w["formatted"].split("<|end|>")[:-1]]
+        old, new = said[: w["n_repeated"]], said[w["n_repeated"] :]
+        assert sum(cost[t] for t in said) <= 64 or new == ["long"]
+        assert new and said[0] == "rules" and (old[1:] == seen[len(seen) - len(old) + 1 :] if k else not old)
+        assert sum(cost[t] for t in old[1:]) <= 20
+        if k and len(seen) > len(old[1:]) + 1:  # one more turn of history would not fit
+            assert sum(cost[t] for t in [seen[len(seen) - len(old)], *old[1:]]) > 20
+        seen += new
+        learned += [w["formatted"][m["start"] : m["start"] + m["length"]] for m in w["loss"]]
+    assert seen == [t[3] for t in turns] and learned == [t[3] for t in turns if t[2] == "assistant"]
+
+
+def test_forward_backward_is_the_sum_over_paths():
+    rng = np.random.default_rng(3)
+    score, moves = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
+    mask = np.array([[True] * 4, [True] * 3 + [False]])
+    p, pairs = langid.marginals(score, mask, moves)
+    want, steps = np.zeros_like(p), np.zeros_like(pairs)
+    for c in range(2):
+        n = int(mask[c].sum())
+        paths = list(itertools.product(range(3), repeat=n))
+        weight = np.array([np.exp(sum(score[c, i, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))) for path in paths])
+        for path, w in zip(paths, weight / weight.sum()):
+            for i, y in enumerate(path):
+                want[c, i, y] += w
+            for a, b in zip(path, path[1:]):
+                steps[a, b] += w
+    assert np.allclose(p, want) and np.allclose(pairs, steps)

@@ -104,3 +104,32 @@ def test_packing_query(spark, tables, no_tables, plain_docs):
         assert at <= 2048
     assert len(held) == -(-sum(w[4] for w in want) // 2048)
     assert packing.op4_dominance_packing(spark, no_tables).count() == 0
+
+
+def _fewest(lengths, capacity):
+    """Least number of sequences, by trying every set of the pieces."""
+    n = len(lengths)
+    total = [sum(lengths[i] for i in range(n) if m >> i & 1) for m in range(1 << n)]
+    best = [0] + [n] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        low, s = m & -m, m
+        while s:
+            if s & low and total[s] <= capacity:
+                best[m] = min(best[m], best[m ^ s] + 1)
+            s = (s - 1) & m
+    return best[-1]
+
+
+def test_dominance_keeps_the_optimum():
+    class Reduced(packing.Plan):
+        def best_fit(self):
+            pass
+
+    rng, fixed = random.Random(5), 0
+    for _ in range(120):
+        lengths = [rng.randint(*rng.choice([(1, 30), (8, 20), (14, 30)])) for _ in range(rng.randint(0, 8))]
+        plan = Reduced(dict(Counter(lengths)), 30)
+        rest = [x for x, n in plan.left.items() for _ in range(n)]
+        assert plan.sequences + _fewest(rest, 30) == _fewest(lengths, 30)
+        fixed += len(lengths) - len(rest)
+    assert fixed > 100
