@@ -7,7 +7,7 @@ pairs of a bucket are candidates.  First, in the order of a further draw, a line
 first and with the two before it (buckets that hold a large part of all rows are salted, and their
 lines are paired with one common line as well): that ties groups of near copies together.  Then the
 lines of a bucket that are not tied to its largest group are held against all others of it, block
-against block; pairs that are tied already need no look.  Pairs are verified by the exact Jaccard
+against block, by sketches of ``CELLS`` cells; pairs that are tied already need no look.  Pairs are verified by the exact Jaccard
 similarity of their shingles, and connected components of what holds (and copies) keep one line: the
 first in the document of least id.
 
@@ -18,11 +18,13 @@ document; null ids come after all others.  Other columns stay as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, fresh, let, stash
+from .common import BROADCAST_BYTES, broadcast_if_small, documents, fresh, let, stash
 from .components import components
 
 SHINGLE, BANDS, ROWS = 9, 6, 3
@@ -38,6 +40,10 @@ BITS, PACKED, AGREE = 7, 9, 9
 HOT, SALT, SAMPLE = 200, 64, 64
 #: Lines in a block, where all pairs of a bucket are looked at.
 LINES = 1024
+#: Cells of a sketch, and how far an estimate may fall short, by the root of the cells that hold several shingles.
+CELLS, SLACK = 512, 1.8
+#: Differences that an estimate may have, by the number of cells that are filled.
+ALLOWED = [int(u * (OF - SHARED) / OF + 1 + SLACK * max(0.0, u + (b := max(CELLS - u, 0.5)) * math.log(b / CELLS)) ** 0.5) for u in range(CELLS + 1)]
 
 
 def line_id(line: Column) -> Column:
@@ -130,25 +136,54 @@ def _shingles(line: Column) -> Column:
     return let(_units(line), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: _shingle(u, i))))
 
 
-def remaining_pairs(signed: DataFrame, keys: DataFrame, n_keys: int, tied: DataFrame, n_tied: int) -> DataFrame:
-    """(a, b) of all lines that share one of the buckets ``keys``, agree in enough draws and are not
+def _sketches(lines: DataFrame) -> DataFrame:
+    """(id, b0...: a bit a cell, f0...: cells that are not empty) of lines (id, line).  A shingle falls in a
+    cell; a cell keeps one bit of its least shingle (one permutation, hashed once)."""
+    rows = lines.select("id", _units(F.col("line")).alias("units")).select("id", "units", F.explode(F.sequence(F.lit(0), _count(F.col("units")) - 1)).alias("at"))
+    rows = rows.select("id", _shingle(F.col("units"), F.col("at")).alias("h")).groupBy("id", F.pmod("h", F.lit(CELLS)).cast("int").alias("cell")).agg(F.min("h").alias("h"))
+    rows = rows.select("id", F.floor(F.col("cell") / 64).alias("word"), F.expr("shiftleft(1L, cell % 64)").alias("mark"), (F.shiftright("h", 20).bitwiseAND(F.lit(1)) == 1).alias("bit"))
+    zero = F.lit(0).cast("long")
+    words = [F.coalesce(F.bit_or(F.when((F.col("word") == k) & test, F.col("mark"))), zero).alias(f"{name}{k}") for k in range(CELLS // 64) for name, test in (("b", F.col("bit")), ("f", F.lit(True)))]
+    return rows.groupBy("id").agg(*words)
+
+
+def _near(a: Column, b: Column) -> Column:
+    """The sketches of two lines may be of lines that are similar.  Of the cells that either fills, one that only
+    one fills tells of different shingles, and so does a differing bit, half the time.  Cells of one shingle tell
+    the truth; how many hold several follows from how many are filled, and the estimate varies with their number.
+    In simulations, 0.3 % at most of pairs at a similarity of 0.8 fall beyond the slack, and most pairs at 0.7 do."""
+    used, lone, differ = F.lit(0), F.lit(0), F.lit(0)
+    for k in range(CELLS // 64):
+        f, g = a[f"f{k}"], b[f"f{k}"]
+        used, lone = used + F.bit_count(f.bitwiseOR(g)), lone + F.bit_count(f.bitwiseXOR(g))
+        differ = differ + F.bit_count(a[f"b{k}"].bitwiseXOR(b[f"b{k}"]).bitwiseAND(f.bitwiseAND(g)))
+    return lone + 2 * differ <= F.get(F.lit(ALLOWED), used)
+
+
+def remaining_pairs(df: DataFrame, signed: DataFrame, keys: DataFrame, n_keys: int, tied: DataFrame, n_tied: int, text: str) -> DataFrame:
+    """(a, b) of all lines that share one of the buckets ``keys``, are near by their sketches and are not
     in one component (node, root) yet.  One of the two is not in the largest component of the
     bucket, so those lines are held against all, block against block."""
-    rows = _buckets(signed).select("me", "key").join(broadcast_if_small(keys, n_keys, 16), "key")
-    rows = rows.join(broadcast_if_small(tied.select(F.col("node").alias("id"), "root"), n_tied, 24), F.col("me")["id"] == F.col("id"), "left")
-    rows = stash(rows.select("key", "me", F.coalesce("root", F.col("me")["id"]).alias("root")), "line-dense")
+    of_id = broadcast_if_small(tied.select(F.col("node").alias("id"), "root"), n_tied, 24)
+    rows = _buckets(signed).select("key", F.col("me")["id"].alias("id")).join(broadcast_if_small(keys, n_keys, 16), "key")
+    rows = stash(rows.join(of_id, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "line-dense")
     parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     tops = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("top")).filter(F.col("c") > F.col("top")["c"])
     blocks = lambda n: F.ceil(n / LINES).cast("int")
     tops = stash(tops.select("key", F.col("top")["root"].alias("top"), blocks(F.col("c") - F.col("top")["c"]).alias("rows"), blocks(F.col("c")).alias("columns")), "line-tops")
-    open_ = rows.join(broadcast_if_small(tops, tops.count(), 32), "key")
+    open_ = stash(rows.join(broadcast_if_small(tops, tops.count(), 32), "key"), "line-open")
+    ids = stash(open_.select("id").distinct(), "line-open-ids")
+    n_ids = ids.count()
+    sketches = stash(_sketches(_texts(df, ids, n_ids, text)), "line-sketches")
+    own = F.struct("id", *[f"{name}{k}" for k in range(CELLS // 64) for name in "bf"]).alias("me")
+    open_ = open_.join(broadcast_if_small(sketches, n_ids, 16 + CELLS // 4), "id").select("key", "root", "top", "rows", "columns", own)
     block = lambda n: F.pmod(F.xxhash64(F.col("me")["id"], F.lit(7)), F.col(n)).cast("int")
     some = open_.filter("root != top").select("key", "me", "root", block("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
     every = open_.select("key", F.col("me").alias("other"), F.col("root").alias("far"), "top", block("columns").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
     a, b = F.col("me")["id"], F.col("other")["id"]
     differ = (F.col("root") != F.col("far")) & ((F.col("far") == F.col("top")) | (a < b))
     same = (some["key"] == every["key"]) & (some["i"] == every["i"]) & (some["j"] == every["j"])
-    met = some.join(every, same & differ & (_agreeing(F.col("me"), F.col("other")) >= AGREE))
+    met = some.join(every, same & differ & _near(F.col("me"), F.col("other")))
     return met.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 
@@ -156,10 +191,15 @@ def verified(df: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """The pairs whose lines are similar."""
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ends")
     bodies = stash(_texts(df, ends, ends.count(), text), "line-texts")
+    like = lambda p, q: let(F.size(F.array_intersect(p, q)), lambda n: n * OF >= (F.size(p) + F.size(q) - n) * SHARED)
+    n_bytes = bodies.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0))).first()[0]
+    if n_bytes * 8 <= BROADCAST_BYTES:  # a shingle of eight bytes a character
+        sets = bodies.select("id", _shingles(F.col("line")).alias("set"))
+        both = pairs.join(F.broadcast(sets.toDF("a", "x")), "a").join(F.broadcast(sets.toDF("b", "y")), "b")
+        return both.filter(like(F.col("x"), F.col("y"))).select("a", "b")
     both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(bodies.select(F.col("id").alias("b"), _shingles(F.col("line")).alias("y")), "b")
-    like = let(_shingles(F.col("x")), lambda p: let(F.size(F.array_intersect(p, F.col("y"))), lambda n: n * OF >= (F.size(p) + F.size("y") - n) * SHARED))
-    return both.filter(like).select("a", "b")
+    return both.filter(let(_shingles(F.col("x")), lambda p: like(p, F.col("y")))).select("a", "b")
 
 
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -174,7 +214,7 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     tied = components(held, "line-classes")
     n_tied = held.count() * 2
     if n_keys:
-        more = stash(remaining_pairs(signed, keys, n_keys, tied, n_tied), "line-remaining")
+        more = stash(remaining_pairs(df, signed, keys, n_keys, tied, n_tied, text), "line-remaining")
         if not more.isEmpty():
             late = stash(verified(df, more, text), "line-late")
             n_late = late.count()
