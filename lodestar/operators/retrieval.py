@@ -16,10 +16,15 @@ FLOOR = 1e-6
 SMALL_TERMS = 200_000
 
 
+def _terms(fields: dict[str, tuple[Column, float]]) -> list[tuple[Column, float]]:
+    return [(F.array_distinct(F.coalesce(t, F.array().cast("array<string>"))), w) for t, w in fields.values()]
+
+
 def postings(df: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]]) -> DataFrame:
     """IDX1: (id, dl, term, f).  ``fields``: name -> (array of terms, weight); a field holds a term
-    once, and f is the sum of the weights of the fields that hold it."""
-    each = [(F.array_distinct(F.coalesce(t, F.array().cast("array<string>"))), w) for t, w in fields.values()]
+    once, and f is the sum of the weights of the fields that hold it.  A document without a term has one
+    row, of a null term: it counts in the statistics."""
+    each = _terms(fields)
     length = sum((F.size(t) for t, _ in each), F.lit(0))
 
     def weighed(terms: Column, weight: float) -> Column:
@@ -27,23 +32,32 @@ def postings(df: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]]
 
     pairs = F.flatten(F.array(*[weighed(t, w) for t, w in each]))
     # arrays and length below the explode: beside it they would be made for every term
-    rows = df.select(F.col(id_col).alias("id"), length.alias("dl"), pairs.alias("pairs")).select("id", "dl", F.explode("pairs").alias("p"))
+    rows = df.select(F.col(id_col).alias("id"), length.alias("dl"), pairs.alias("pairs")).select("id", "dl", F.explode_outer("pairs").alias("p"))
     if len(each) == 1:
         return rows.select("id", "dl", F.col("p")["term"].alias("term"), F.col("p")["w"].alias("f"))
     return rows.groupBy("id", "dl", F.col("p")["term"].alias("term")).agg(F.sum("p.w").alias("f"))
 
 
 def statistics(index: DataFrame) -> DataFrame:
-    """One row: n documents, avgdl."""
+    """One row: n documents, avgdl, from postings alone."""
     return index.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query, id, score) of all that share a term; ``terms``: (query, term) without repeats."""
-    stats = statistics(index)
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def sizes(df: DataFrame, fields: dict[str, tuple[Column, float]]) -> DataFrame:
+    """The same from the documents (one row each): no term is exploded for it."""
+    length = sum((F.size(t) for t, _ in _terms(fields)), F.lit(0))
+    return df.select(length.alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_scores(index: DataFrame, terms: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(query, id, score) of all that share a term; ``terms``: (query, term) without repeats.  Only postings of
+    the queries' terms are shuffled."""
+    stats = statistics(index) if stats is None else stats
+    asked = terms.select("term").distinct()
     if terms.count() <= SMALL_TERMS:
-        terms = F.broadcast(terms)
+        terms, asked = F.broadcast(terms), F.broadcast(asked)
+    index = index.join(asked, "term", "left_semi")
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hit = index.join(terms, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(FLOOR) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -33,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _BM25 = """
 WITH t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM documents),
-d AS (SELECT id, len(ts) AS dl, ts FROM t WHERE len(ts) > 0),
+d AS (SELECT id, coalesce(len(ts), 0) AS dl, ts FROM t),
 p AS (SELECT id, dl, unnest(ts) AS term FROM d),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -47,9 +47,10 @@ r AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY sc
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = retrieval.postings(read(spark, sf_dir, "documents"), "doc_id", {"text": (text.words(F.col("text")), 1.0)})
+    docs, fields = read(spark, sf_dir, "documents"), {"text": (text.words(F.col("text")), 1.0)}
+    index = retrieval.postings(docs, "doc_id", fields)
     terms = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
-    return retrieval.top_k(retrieval.bm25_scores(index, terms), k)
+    return retrieval.top_k(retrieval.bm25_scores(index, terms, retrieval.sizes(docs, fields)), k)
 
 
 @query(_BM25 + "SELECT query, id, round(score, 6) AS score, rank::INTEGER AS rank, CASE WHEN rank = 1 THEN 'rank1' WHEN rank <= 5 THEN '2_5' ELSE '6_20' END AS bucket FROM r WHERE rank <= 10")
@@ -89,7 +90,7 @@ def membership(spark, sf_dir):
 def document_frequency(spark, sf_dir):
     """IDX1."""
     index = retrieval.postings(read(spark, sf_dir, "documents"), "doc_id", {"text": (text.words(F.col("text")), 1.0)})
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 # --- text functions -------------------------------------------------------------------------
