@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -71,17 +70,20 @@ def chinese_amount(text: str) -> float:
     return value + (float("0." + "".join(str(DIGITS[c]) for c in tail)) if tail else 0.0)
 
 
+def _multiple(unit: str | None) -> int:
+    return {"万": 10_000, "千": 1000, "k": 1000}.get(plain(unit).casefold(), 1)
+
+
 def amount(number: str, unit: str | None = None) -> float:
-    """NUM7: plain, mixed (1万2) and Chinese amounts, times the unit."""
-    text = plain(number).strip()
-    mixed = re.fullmatch(rf"({_PLAIN})\s*([万千])\s*({_PLAIN})(\s*千)?", text)
-    if mixed:
-        size = {"万": 10_000, "千": 1000}[mixed[2]]
-        rest = float(mixed[3])
-        value = float(mixed[1]) * size + (rest * 1000 if mixed[4] else rest * size / 10 if rest < 10 else rest)
-    else:
-        value = float(text) if re.fullmatch(_PLAIN, text) else chinese_amount(text)
-    return value * {"万": 10_000, "千": 1000, "k": 1000}.get(plain(unit).casefold(), 1)
+    """NUM7: plain, mixed (1万2) and Chinese amounts, times the unit.  What follows the large unit of a mixed
+    amount counts as it says if it is ten or more or has a 千 of its own, else in tenths of the large unit."""
+    text = "".join(plain(number).split())
+    head, mark, rest = next(((h, m, r) for h, m, r in map(text.partition, "万千") if m and r and h[:1].isdigit()), (text, "", ""))
+    if not mark:
+        return (float(text) if text[:1].isdigit() else chinese_amount(text)) * _multiple(unit)
+    tail = float(rest.removesuffix("千"))
+    scale = 1000 if rest.endswith("千") else _multiple(mark) / 10 if tail < 10 else 1
+    return (float(head) * _multiple(mark) + tail * scale) * _multiple(unit)
 
 
 class Expression(NamedTuple):
@@ -96,66 +98,79 @@ class Expression(NamedTuple):
     inclusive: bool
 
 
-def _number(name: str) -> str:
-    return rf"(?P<{name}>{_MIXED}|{_PLAIN}|{_HAN})\s*(?P<{name}_unit>万|千|[kK])?(?![零〇一二两三四五六七八九十百千万亿点\d.kK])"
-
-
-class Rule(NamedTuple):
+#: An amount as a whole: no digit, unit or point goes on after it.
+_AMOUNT = re.compile(rf"({_MIXED}|{_PLAIN}|{_HAN})\s*(万|千|[kK])?(?![零〇一二两三四五六七八九十百千万亿点\d.kK])")
+_CUR = rf"\s*{CURRENCY}?"
+#: What may stand right before an amount, by name.
+_BEFORE = {
+    name: re.compile(f"{cue}$")
+    for name, cue in {"any": rf"{_SET}?(?:{SOFT}\s*)?", "at_most": rf"{_SET}?{UPPER}\s*", "at_least": rf"{_SET}?{LOWER}\s*", "about": rf"{_SET}?{SOFT}\s*(?:在|为|是)?\s*", "label": _SET}.items()
+}
+#: What may stand right after it.
+_HINTS = rf"{AROUND}|{WITHIN}|以上|起|{ABOVE}"
+_AFTER = {
+    name: re.compile(cue)
+    for name, cue in {
+        "any": _CUR, "within": rf"{_CUR}\s*{WITHIN}", "upward": rf"{_CUR}\s*(?:以上|起步|起)", "around": rf"{_CUR}\s*{AROUND}", "loose": rf"\s*{LOOSE}\s*{CURRENCY}?", "plus": rf"\s*(?:{CURRENCY}\s*)?\+",
+        "and_more": rf"\s*(?:{LOOSE}\s*{CURRENCY}?|{CURRENCY}?\s*{ABOVE})(?:\s*(?:就行|即可|可以|能接受))?", "no_hint": rf"{_CUR}(?!\s*(?:{_HINTS}))", "alone": rf"{_CUR}(?!\s*(?:[-~～—至到+]|{LOOSE}|{_HINTS}))",
+    }.items()
+}
+_TO = re.compile(rf"{_CUR}\s*(?:-|~|～|—|至|到)\s*")
+_RANGE_END = re.compile(rf"{_CUR}(?:之间|区间|范围内|以内|之内)?")
+#: Readings of one amount, the stronger first: (kind, cue before, cue after).  A range is stronger than all.
+READINGS = (
+    ("preference", "at_most", "loose"), ("upper", "at_most", "any"), ("lower", "at_least", "any"), ("upper", "any", "within"), ("lower", "any", "upward"), ("preference", "any", "and_more"),
+    ("around", "any", "around"), ("around", "about", "no_hint"), ("upper", "label", "alone"), ("preference", "any", "plus"),
+)
+
+
+class Reading(NamedTuple):
+    """An amount (or two) with the span of its cues, and how strong that is (0 the most)."""
+
+    rank: int
+    start: int
+    end: int
     kind: str
-    pattern: re.Pattern
-    exact_label: bool = False
-
-
-@lru_cache(1)
-def rules() -> tuple[Rule, ...]:
-    """In order of precedence: what an earlier rule has taken is closed to later ones."""
-    n, lead, cur = _number("a"), rf"{_SET}?(?:{SOFT}\s*)?", rf"\s*{CURRENCY}?"
-    after = rf"{AROUND}|{WITHIN}|以上|起|{ABOVE}"
-    table = (
-        ("range", rf"{lead}{n}{cur}\s*(?:-|~|～|—|至|到)\s*{_number('b')}{cur}(?:之间|区间|范围内|以内|之内)?"),
-        ("open", rf"{_SET}?{UPPER}\s*{n}\s*{LOOSE}\s*{CURRENCY}?"),
-        ("upper", rf"{_SET}?{UPPER}\s*{n}{cur}"),
-        ("lower", rf"{_SET}?{LOWER}\s*{n}{cur}"),
-        ("upper", rf"{lead}{n}{cur}\s*{WITHIN}"),
-        ("lower", rf"{lead}{n}{cur}\s*(?:以上|起步|起)"),
-        ("open", rf"{lead}{n}\s*(?:{LOOSE}\s*{CURRENCY}?|{CURRENCY}?\s*{ABOVE})(?:\s*(?:就行|即可|可以|能接受))?"),
-        ("around", rf"{lead}{n}{cur}\s*{AROUND}"),
-        ("around", rf"{_SET}?{SOFT}\s*(?:在|为|是)?\s*{n}{cur}(?!\s*(?:{after}))"),
-        ("label", rf"{_SET}{n}{cur}(?!\s*(?:[-~～—至到+]|{LOOSE}|{after}))"),
-        ("open", rf"{lead}{n}\s*(?:{CURRENCY}\s*)?\+"),
-    )
-    return tuple(Rule(k if k != "label" else "upper", re.compile(p), k == "label") for k, p in table)
-
-
-def _is_price(rule: Rule, m: re.Match, text: str) -> bool:
-    if re.search(FEES, text[max(0, m.start() - 8) : m.start()]):
+    low: float
+    high: float | None
+
+
+def _readings(text: str) -> list[Reading]:
+    """Every reading of every amount."""
+    out, last = [], None
+    for m in _AMOUNT.finditer(text):
+        value = amount(m[1], m[2])
+        if last is not None and (_TO.fullmatch(text, last[0].end(), m.start())):
+            out.append(Reading(0, _BEFORE["any"].search(text, 0, last[0].start()).start(), _RANGE_END.match(text, m.end()).end(), "range", last[1], value))
+        for rank, (kind, before, after) in enumerate(READINGS, 1):
+            cue, rest = _BEFORE[before].search(text, 0, m.start()), _AFTER[after].match(text, m.end())
+            if cue and rest:
+                out.append(Reading(rank, cue.start(), rest.end(), kind, value, None))
+        last = m, value
+    return out
+
+
+def _is_price(r: Reading, text: str) -> bool:
+    """A fee is no price; an amount needs a label or a currency; a labelled one alone is neither a count nor a part."""
+    span = text[r.start : r.end]
+    if re.search(FEES, text[max(0, r.start - 8) : r.start]):
         return False
-    if rule.exact_label:
-        rest = text[m.end() : m.end() + 20]
-        counted = not re.search(CURRENCY, m[0]) and re.match(PIECES, rest)
-        return not counted and not re.match(TOTALS, rest)
-    return bool(re.search(LABEL, m[0]) or re.search(CURRENCY, m[0]))
+    if r.rank and READINGS[r.rank - 1][1] == "label":
+        rest = text[r.end : r.end + 20]
+        return not re.match(TOTALS, rest) and bool(re.search(CURRENCY, span) or not re.match(PIECES, rest))
+    return bool(re.search(LABEL, span) or re.search(CURRENCY, span))
 
 
 def expressions(text: object) -> list[Expression]:
-    """NUM9: price expressions that do not overlap, by place."""
+    """NUM9: price expressions that do not overlap, by place: of readings that overlap the stronger counts."""
     text, out = plain(text), []
-    for rule in rules():
-        for m in rule.pattern.finditer(text):
-            if not _is_price(rule, m, text) or any(m.start() < e.end and e.start < m.end() for e in out):
-                continue
-            a = amount(m["a"], m["a_unit"])
-            if a <= 0:
-                continue
-            low = high = None
-            if rule.kind == "range":
-                low, high = a, amount(m["b"], m["b_unit"])
-                if high < low:
-                    continue
-            elif rule.kind == "around":
-                low, high = max(0.0, a - a * TOLERANCE), a + a * TOLERANCE
-            strict = rule.kind == "upper" and re.search(r"低于|小于", m[0]) or rule.kind == "lower" and re.search(r"高于|大于|超过", m[0])
-            out.append(Expression(rule.kind, None if rule.kind == "range" else a, low, high, m[0], m.start(), m.end(), rule.kind in ("around", "open"), not strict))
+    for r in sorted(_readings(text)):
+        if r.low <= 0 or (r.high is not None and r.high < r.low) or not _is_price(r, text) or any(r.start < e.end and e.start < r.end for e in out):
+            continue
+        span = text[r.start : r.end]
+        low, high = (max(0.0, r.low - r.low * TOLERANCE), r.low + r.low * TOLERANCE) if r.kind == "around" else (None, None) if r.high is None else (r.low, r.high)
+        strict = {"upper": r"低于|小于", "lower": r"高于|大于|超过"}.get(r.kind)
+        out.append(Expression(r.kind, r.low if r.high is None else None, low, high, span, r.start, r.end, r.kind in ("around", "preference"), not (strict and re.search(strict, span))))
     return sorted(out, key=lambda e: e.start)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HAN = "㐀-䶿一-鿿"
+#: Names of the currency, and what they are written as.
 _CURRENCY_NAMES = (("人民币", "元"), ("块钱", "元"))
 
 

@@ -21,7 +21,7 @@ def test_amounts(said, unit, value):
 @pytest.mark.parametrize(
     "said, kind, value, lower, upper",
     [
-        ("不超过300元", "upper", 300, None, None), ("三百元到四百元", "range", None, 300, 400), ("300元左右", "around", 300, 240, 360), ("300多元", "open", 300, None, None),
+        ("不超过300元", "upper", 300, None, None), ("三百元到四百元", "range", None, 300, 400), ("300元左右", "around", 300, 240, 360), ("300多元", "preference", 300, None, None),
         ("至少50元", "lower", 50, None, None), ("预算200元", "upper", 200, None, None), ("价格在100元以上", "lower", 100, None, None),
     ],
 )
