@@ -35,7 +35,7 @@ def severity(slice_name: str, r: Column) -> Column:
     }[slice_name].cast("double")
 
 
-#: FLT3, fixed values: the challenge that tells whether a strategy has a task.
+#: FLT3: the challenge that tells whether a strategy has a task (names of our own; callers may give theirs).
 PROXIES = {"search": "search_reformulation", "compare": "candidate_comparison", "price": "price_semantics", "options": "multi_option", "evidence": "evidence_verification", "long": "long_horizon"}
 
 

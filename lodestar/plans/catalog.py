@@ -537,13 +537,18 @@ def category_frequency(spark, sf_dir):
     return out.select("n_name", "n").crossJoin(F.broadcast(c.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
-@query("""WITH s AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 2 GROUP BY user_id)
-SELECT seq, count(*) AS n, min(user_id) AS first_user FROM s GROUP BY seq ORDER BY n DESC, first_user LIMIT 10""")
+@query("""WITH e AS (SELECT user_id * 1000000 + (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS t, event_id, event_type FROM events), s AS (SELECT t, string_agg(event_type, ',' ORDER BY event_id) AS seq FROM e GROUP BY t),
+c AS (SELECT seq, count(*) AS n, min(t) AS first_seen FROM s GROUP BY seq), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_seen) AS place, sum(n) OVER () AS total, count(*) OVER () AS unique_sequences FROM c)
+SELECT seq, n, first_seen, unique_sequences, round(n / total, 9) AS share FROM r WHERE place <= 10""")
 def top_sequences(spark, sf_dir):
-    """SM20, AG23: the ten most common opening sequences, ties by first seen."""
-    first = selection.top_per_group(read(spark, sf_dir, "events"), ["user_id"], ["event_id"], 2)
-    seq = first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("seq"))
-    return seq.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("user_id").alias("first_user")).orderBy(F.desc("n"), "first_user").limit(10)
+    """SM20, AG23: every event of a user in sessions of three; the ten most common whole sequences, ties by first seen."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    rows = read(spark, sf_dir, "events").withColumn("t", F.col("user_id") * 1000000 + F.floor((F.row_number().over(w) - 1) / 3))
+    seq = rows.groupBy("t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("seq"))
+    counts = seq.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_seen"))
+    totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_sequences"))  # one row
+    top = counts.orderBy(F.desc("n"), "first_seen").limit(10).crossJoin(F.broadcast(totals))
+    return top.select("seq", "n", "first_seen", "unique_sequences", F.round(F.col("n") / F.col("total"), 9).alias("share"))
 
 
 @query("SELECT doc_id FROM labels WHERE toxic = 0 INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'")
