@@ -195,7 +195,9 @@ def verified(df: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """The pairs whose lines are similar."""
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ends")
     bodies = stash(_texts(df, ends, ends.count(), text), "line-texts")
-    like = lambda p, q: let(F.size(F.array_intersect(p, q)), lambda n: n * OF >= (F.size(p) + F.size(q) - n) * SHARED)
+    # sizes that far apart rule a pair out before any shingle is compared
+    near = lambda p, q: (F.size(p) * OF >= F.size(q) * SHARED) & (F.size(q) * OF >= F.size(p) * SHARED)
+    like = lambda p, q: near(p, q) & (F.size(F.array_intersect(p, q)) * (OF + SHARED) >= (F.size(p) + F.size(q)) * SHARED)
     n_bytes = bodies.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0))).first()[0]
     if n_bytes * 8 <= BROADCAST_BYTES:  # a shingle of eight bytes a character
         sets = bodies.select("id", _shingles(F.col("line")).alias("set"))
@@ -203,7 +205,8 @@ def verified(df: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
         return both.filter(like(F.col("x"), F.col("y"))).select("a", "b")
     both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(bodies.select(F.col("id").alias("b"), _shingles(F.col("line")).alias("y")), "b")
-    return both.filter(let(_shingles(F.col("x")), lambda p: like(p, F.col("y")))).select("a", "b")
+    # an array of one set, exploded: a column that is made once, where a projection would be repeated in the filter
+    return both.select("a", "b", "y", F.explode(F.array(_shingles(F.col("x")))).alias("p")).filter(like(F.col("p"), F.col("y"))).select("a", "b")
 
 
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
