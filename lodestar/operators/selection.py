@@ -174,6 +174,29 @@ def max_flow(supply: dict[tuple[str, str], int], rows: dict[str, int], columns:
     return {(r, c): n - room[(("r", r), ("c", c))] for (r, c), n in supply.items()}
 
 
+def feasible_columns(
+    supply: dict[tuple[str, str], int], rows: dict[str, int], fixed: dict[str, int], wish: dict[str, int], ranges: dict[str, range]
+) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """SM13: the column targets nearest to ``wish`` (sum of differences) that cells can meet, and their
+    allocation; of equally near ones the first by the distance of each ranged column to its wish, then by the
+    target of the next.  Two columns run over ``ranges``, the third takes what the sum of ``wish`` leaves;
+    ``fixed`` rows are in the targets already.  Candidates are tried from the nearest on."""
+    (p, first), (q, second) = ranges.items()
+    (rest,) = set(wish) - set(ranges)
+    total, options = sum(wish.values()), []
+    for x in first:
+        for y in second:
+            target = {p: x, q: y, rest: total - x - y}
+            if all(target[k] >= fixed.get(k, 0) for k in target):
+                options.append((sum(abs(target[k] - wish[k]) for k in wish), abs(x - wish[p]), y, target))
+    for *_, target in sorted(options, key=lambda o: o[:3]):
+        need = {k: n - fixed.get(k, 0) for k, n in target.items()}
+        cells = max_flow(supply, rows, need)
+        if sum(cells.values()) == sum(rows.values()) == sum(need.values()):
+            return target, cells
+    raise ValueError("no column targets can be met")
+
+
 def weighted_sample(df: DataFrame, weight: str, n: int, seed: int) -> DataFrame:
     """SM19: without replacement, by exponential keys."""
     return df.orderBy(-F.log(F.rand(seed)) / F.col(weight)).limit(n)

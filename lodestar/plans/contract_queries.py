@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import measures
 from ..operators import contracts
 from .catalog import query, read
 
@@ -103,3 +104,16 @@ def accepted_tasks(spark, sf_dir):
     runs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), "o_totalprice")
     out = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("task_id"))
     return contracts.accepted_ids(runs, out, F.col("o_totalprice") > 100000)
+
+
+_SAID = ("容量不超过5升，高15厘米以下", "至少 2kg", "长10-12cm以内", "3个左右", "1升到500毫升以上", "红色", None, "直径最大为８寸")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'lte:volume:5.0;lte:length:0.15' WHEN 1 THEN 'gte:weight:2.0' WHEN 2 THEN 'between:length:0.1-0.12' WHEN 3 THEN 'around:count:3.0' WHEN 4 THEN 'gte:volume:0.5' WHEN 7 THEN 'lte:cun:8.0' ELSE '' END AS said FROM part""")
+def said_measures(spark, sf_dir):
+    """NUM4."""
+    k = F.col("p_partkey") % len(_SAID)
+    text = F.element_at(F.array(*[F.lit(t) for t in _SAID]), (k + 1).cast("int"))
+    amount = lambda b: F.coalesce(F.round(b["value"], 6).cast("string"), F.concat_ws("-", F.round(b["low"], 6).cast("string"), F.round(b["high"], 6).cast("string")))
+    found = read(spark, sf_dir, "part").select("p_partkey", measures.said_bounds(text).alias("b"))
+    return found.select("p_partkey", F.array_join(F.transform("b", lambda b: F.concat_ws(":", b["operator"], b["dimension"], amount(b))), ";").alias("said"))
