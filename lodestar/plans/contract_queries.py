@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import measures
-from ..operators import contracts
+from ..operators import contracts, requests
 from .catalog import query, read
 
 
@@ -117,3 +117,28 @@ def said_measures(spark, sf_dir):
     amount = lambda b: F.coalesce(F.round(b["value"], 6).cast("string"), F.concat_ws("-", F.round(b["low"], 6).cast("string"), F.round(b["high"], 6).cast("string")))
     found = read(spark, sf_dir, "part").select("p_partkey", measures.said_bounds(text).alias("b"))
     return found.select("p_partkey", F.array_join(F.transform("b", lambda b: F.concat_ws(":", b["operator"], b["dimension"], amount(b))), ";").alias("said"))
+
+
+_CLAUSES = ("不需要必须", "必须最好", "不要太贵", "不要红色", "约三百", "约会穿", None, "越轻便越好")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'ambiguous_negative' WHEN 1 THEN 'mixed_hard_soft' WHEN 2 THEN 'soft_like' WHEN 3 THEN 'hard_like' WHEN 4 THEN 'soft_like' WHEN 7 THEN 'soft_like' ELSE 'contextual_marker' END AS class FROM part""")
+def clause_classes(spark, sf_dir):
+    """X26."""
+    k = (F.col("p_partkey") % len(_CLAUSES) + 1).cast("int")
+    return read(spark, sf_dir, "part").select("p_partkey", requests.clause_class(F.element_at(F.array(*[F.lit(t) for t in _CLAUSES]), k)).alias("class"))
+
+
+_BRANDED = [
+    ("要小米手机x20 750", "小米x20手机750", "小米官方旗舰店", "Mi,小米", "750,x20"), ("要海澜衬衫", "海澜之家衬衫x20", "海澜之家专卖店", "海澜", ""), ("要mi的", "手机", "mi店", "Mi", ""),
+    ("要衬衫 A-1", "衬衫 a-1", "衬衫", "衬衫", "a-1"), (None, "小米", "小米店", "", ""), ("小米", "手机", None, "", ""),
+]
+
+
+@query("SELECT p_partkey, " + ", ".join("CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{c[k]}'" for i, c in enumerate(_BRANDED)) + f" END AS {n}" for k, n in ((3, "brands"), (4, "models"))) + " FROM part")
+def said_names(spark, sf_dir):
+    """SC26."""
+    k = (F.col("p_partkey") % len(_BRANDED) + 1).cast("int")
+    of = lambda n: F.element_at(F.array(*[F.lit(c[n]) for c in _BRANDED]), k)
+    brands = requests.said_brands(of(0), of(1), of(2), {"小米": "Mi", "mi": "Mi", "米": "Rice"})
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(brands, ",").alias("brands"), F.array_join(requests.said_models(of(0), of(1)), ",").alias("models"))
