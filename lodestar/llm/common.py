@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,19 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def arrow_limits(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` for the jobs that run inside, with the session's own settings put back after."""
+    keys = [f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint only for a side whose counted size is under ``BROADCAST_BYTES``; beyond it
     the join shuffles, with AQE splitting skewed partitions."""

@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op1_weighted_sampling": "fingerprint",
     "op10_chosen_path_join": "join",
+    "op11_jacobi_whitening": "whitening",
     "op2_fuzzy_lines": "lines",
     "op3_transducer_counts": "tokencount",
     "op4_dominance_packing": "packing",
