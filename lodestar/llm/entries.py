@@ -9,6 +9,7 @@ _WHERE = {
     "op1_weighted_sampling": "fingerprint",
     "op10_chosen_path_join": "join",
     "op11_jacobi_whitening": "whitening",
+    "op12_phrase_mining": "phrases",
     "op13_odd_sketches": "oddsketch",
     "op2_fuzzy_lines": "lines",
     "op3_transducer_counts": "tokencount",
