@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pandas as pd
@@ -27,8 +28,9 @@ CUES = {
 BETWEEN, ABOUT = "-~～至到", 0.1
 
 _UNIT = "|".join(sorted(SAID_UNITS, key=len, reverse=True))
-_AMOUNT = re.compile(rf"(?P<n>\d+(?:\.\d+)?)\s*(?P<u>{_UNIT})")
-_LOW = re.compile(rf"(?P<n>\d+(?:\.\d+)?)\s*(?P<u>{_UNIT})?\s*[{BETWEEN}]\s*{_AMOUNT.pattern.replace('<n>', '<m>').replace('<u>', '<v>')}")
+# Runs are possessive and no amount starts within one, so a text is read once.
+_AMOUNT = re.compile(rf"(?P<n>(?<!\d)\d++(?:\.\d++)?)\s*+(?P<u>{_UNIT})")
+_LOW = re.compile(rf"(?P<n>(?<!\d)\d++(?:\.\d++)?)\s*+(?:(?P<u>{_UNIT})\s*+)?[{BETWEEN}]\s*+{_AMOUNT.pattern.replace('<n>', '<m>').replace('<u>', '<v>')}")
 
 
 class Bound(NamedTuple):
@@ -56,19 +58,21 @@ def bounds(request: str | None) -> list[Bound]:
         if kind == other and low <= high:
             taken.append(m.span())
             out.append(Bound("between", kind, None, low, high, m[0]))
-    amounts = list(_AMOUNT.finditer(text))
+    amounts, solid = list(_AMOUNT.finditer(text)), [m.start() for m in re.finditer(r"\S", text)] + [len(text)]
     for operator, (before, behind) in CUES.items():
         found = []
         for m in amounts:
-            head, tail = text[: m.start()].rstrip(), text[m.end() :].lstrip()
-            cue = max((c for c in before if head.endswith(c)), key=len, default=None)
+            at = bisect_left(solid, m.start())
+            head, tail = solid[at - 1] + 1 if at else 0, solid[bisect_left(solid, m.end())]
+            cue = max((c for c in before if text.endswith(c, 0, head)), key=len, default=None)
             if cue:
-                found.append((0, len(head) - len(cue), m.end(), m))
-            cue = next((c for c in behind if tail.startswith(c)), None)
+                found.append((0, head - len(cue), m.end(), m))
+            cue = next((c for c in behind if text.startswith(c, tail)), None)
             if cue:
-                found.append((1, m.start(), len(text) - len(tail) + len(cue), m))
+                found.append((1, m.start(), tail + len(cue), m))
         for _, a, b, m in sorted(found, key=lambda f: f[:2]):
-            if all(b <= s or e <= a for s, e in taken):
+            k = bisect_left(taken, (b,))  # ranges do not overlap: of those that start before b the last ends last
+            if not k or taken[k - 1][1] <= a:
                 kind, value = _in_base(m["n"], m["u"])
                 reach = value * ABOUT if operator == "around" else None
                 out.append(Bound(operator, kind, value, None if reach is None else value - reach, None if reach is None else value + reach, text[a:b]))

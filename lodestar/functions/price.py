@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, insort
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -31,10 +33,14 @@ TOTALS = r"(?:一共|总共|合计|共|每|单价)"
 TOLERANCE = 0.20
 # --------------------------------------------------------------------------------------------
 
-_PLAIN = r"\d+(?:\.\d+)?"
-_MIXED = rf"{_PLAIN}\s*[万千]\s*{_PLAIN}(?:\s*千)?"
-_HAN = r"[零〇一二两三四五六七八九十百千万亿]+(?:点[零〇一二两三四五六七八九]+)?"
-_SET = rf"(?:{LABEL}\s*(?:控制)?\s*(?:在|为|是)?\s*)"
+# Runs are possessive and amounts start no run in its middle, so a text is read once.
+_PLAIN = r"\d++(?:\.\d++)?"
+_MIXED = rf"{_PLAIN}\s*+[万千]\s*+{_PLAIN}(?:\s*+千)?"
+_HAN_MARKS = "零〇一二两三四五六七八九十百千万亿"
+_HAN = rf"(?<![{_HAN_MARKS}])[{_HAN_MARKS}]++(?:点[零〇一二两三四五六七八九]++)?"
+_SET = rf"(?:{LABEL}\s*+(?:控制)?\s*+(?:在|为|是)?\s*+)"
+#: Characters, white space aside, that the cues on one side of an amount span at most, and those of an amount.
+CUES, DIGITS_MOST = 16, 40
 
 
 def plain(text: object) -> str:
@@ -43,9 +49,9 @@ def plain(text: object) -> str:
 
 def _whole(text: str) -> int:
     for mark, size in (("亿", LARGE["亿"]), ("万", LARGE["万"])):
-        left, found, right = text.rpartition(mark)
-        if found:
-            return _whole(left) * size + _whole(right)
+        *left, right = text.split(mark)
+        if left:
+            return [*accumulate(map(_whole, left), lambda a, b: a * size + b)][-1] * size + _whole(right)
     total = 0
     for digit, unit in re.findall(r"([零〇一二两三四五六七八九]*)([十百千]?)", text):
         last = DIGITS[digit[-1]] if digit else 0
@@ -99,12 +105,12 @@ class Expression(NamedTuple):
 
 
 #: An amount as a whole: no digit, unit or point goes on after it.
-_AMOUNT = re.compile(rf"({_MIXED}|{_PLAIN}|{_HAN})\s*(万|千|[kK])?(?![零〇一二两三四五六七八九十百千万亿点\d.kK])")
+_AMOUNT = re.compile(rf"((?<!\d)(?:{_MIXED}|{_PLAIN})|{_HAN})\s*(万|千|[kK])?(?![零〇一二两三四五六七八九十百千万亿点\d.kK])")
 _CUR = rf"\s*{CURRENCY}?"
 #: What may stand right before an amount, by name.
 _BEFORE = {
-    name: re.compile(f"{cue}$")
-    for name, cue in {"any": rf"{_SET}?(?:{SOFT}\s*)?", "at_most": rf"{_SET}?{UPPER}\s*", "at_least": rf"{_SET}?{LOWER}\s*", "about": rf"{_SET}?{SOFT}\s*(?:在|为|是)?\s*", "label": _SET}.items()
+    name: re.compile(rf"{cue}\Z")
+    for name, cue in {"any": rf"{_SET}?(?:{SOFT}\s*+)?", "at_most": rf"{_SET}?{UPPER}\s*+", "at_least": rf"{_SET}?{LOWER}\s*+", "about": rf"{_SET}?{SOFT}\s*+(?:在|为|是)?\s*+", "label": _SET}.items()
 }
 #: What may stand right after it.
 _HINTS = rf"{AROUND}|{WITHIN}|以上|起|{ABOVE}"
@@ -135,18 +141,34 @@ class Reading(NamedTuple):
     high: float | None
 
 
+_LABELLED = re.compile(f"{LABEL}|{CURRENCY}")
+
+
 def _readings(text: str) -> list[Reading]:
-    """Every reading of every amount."""
+    """Every reading of every amount that has a label or a currency within reach of its cues."""
     out, last = [], None
+    named = [m.start() for m in _LABELLED.finditer(text)]
+    solid = [m.start() for m in re.finditer(r"\S", text)] if named else []
+    if not named:
+        return out
     for m in _AMOUNT.finditer(text):
-        value = amount(m[1], m[2])
-        if last is not None and (_TO.fullmatch(text, last[0].end(), m.start())):
-            out.append(Reading(0, _BEFORE["any"].search(text, 0, last[0].start()).start(), _RANGE_END.match(text, m.end()).end(), "range", last[1], value))
-        for rank, (kind, before, after) in enumerate(READINGS, 1):
-            cue, rest = _BEFORE[before].search(text, 0, m.start()), _AFTER[after].match(text, m.end())
-            if cue and rest:
-                out.append(Reading(rank, cue.start(), rest.end(), kind, value, None))
-        last = m, value
+        if len(m[1]) > DIGITS_MOST:
+            continue
+        at = bisect_left(solid, m.start())
+        first = solid[max(0, at - CUES)]
+        beyond = bisect_left(solid, m.end()) + CUES
+        until = solid[beyond] if beyond < len(solid) else len(text)
+        k = bisect_left(named, first)
+        near, value = k < len(named) and named[k] < until, amount(m[1], m[2])
+        if last is not None and (near or last[2]) and _TO.fullmatch(text, last[0].end(), m.start()):
+            out.append(Reading(0, _BEFORE["any"].search(text, last[3], last[0].start()).start(), _RANGE_END.match(text, m.end()).end(), "range", last[1], value))
+        if near:
+            cues = {name: cue.search(text, first, m.start()) for name, cue in _BEFORE.items()}
+            for rank, (kind, before, after) in enumerate(READINGS, 1):
+                cue, rest = cues[before], cues[before] and _AFTER[after].match(text, m.end())
+                if cue and rest:
+                    out.append(Reading(rank, cue.start(), rest.end(), kind, value, None))
+        last = m, value, near, first
     return out
 
 
@@ -163,10 +185,14 @@ def _is_price(r: Reading, text: str) -> bool:
 
 def expressions(text: object) -> list[Expression]:
     """NUM9: price expressions that do not overlap, by place: of readings that overlap the stronger counts."""
-    text, out = plain(text), []
+    text, out, taken = plain(text), [], []
     for r in sorted(_readings(text)):
-        if r.low <= 0 or (r.high is not None and r.high < r.low) or not _is_price(r, text) or any(r.start < e.end and e.start < r.end for e in out):
+        if r.low <= 0 or (r.high is not None and r.high < r.low) or not _is_price(r, text):
+            continue
+        k = bisect_left(taken, (r.end,))  # those before k start before this reading ends; they do not overlap, so the last ends last
+        if k and taken[k - 1][1] > r.start:
             continue
+        insort(taken, (r.start, r.end))
         span = text[r.start : r.end]
         low, high = (max(0.0, r.low - r.low * TOLERANCE), r.low + r.low * TOLERANCE) if r.kind == "around" else (None, None) if r.high is None else (r.low, r.high)
         strict = {"upper": r"低于|小于", "lower": r"高于|大于|超过"}.get(r.kind)

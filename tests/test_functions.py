@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions import numbers, price, text
+from lodestar.functions import measures, numbers, price, text
 from lodestar.operators import options, scoring
 
 
@@ -85,3 +87,16 @@ def test_variant_price_ladder(spark):
     got = {r.i: r.p for r in df.select("i", options.resolve_price(F.col("o"), F.col("s"), F.col("c"), F.col("b"))["price"].alias("p")).collect()}
     assert got == {0: 11.0, 1: 12.0, 2: 7.0, 3: 9.0, 4: None}
     assert df.select(scoring.cheapest_options(F.col("o")).alias("x")).first().x == {"size": "S"}
+
+
+@pytest.mark.parametrize("text, found", [("12 34.5 678, " * 80_000, 0), ("plain words 3 " * 70_000, 0), ("预算不超过300元，" + "字 1 " * 100_000, 1), ("1" * 1_000_000 + ".", 0), ("三" * 300_000 + "点元", 0), (("价格" + " " * 2000 + "x5") * 400, 0), ("亿" * 300_000, 0)])
+def test_long_texts_are_read_once(text, found):
+    began = time.process_time()
+    assert len(price.expressions(text)) == found
+    measures.bounds(text)
+    assert time.process_time() - began < 10
+
+
+def test_a_line_break_is_no_part_of_a_price():
+    (e,) = price.expressions("红色\n300元左右")
+    assert e.text == "300元左右" and e.start == 3
