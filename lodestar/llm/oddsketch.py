@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, documents, forget, shuffle_partitions, stash
 from .components import components
-from .join import _groups
+from .join import _forest, _shared
 from .scan import _mix, batches
 from .shingles import shingle_sets
 
@@ -48,8 +48,9 @@ WORDS = 3
 #: Links have a Jaccard similarity of at least 85/100.
 SHARED, OF = 85, 100
 BANDS, ROWS, BITS, SIGMAS = 42, 6, 1024, 5
-#: Rounds against one text a bucket, partners a text then verifies, texts of a block, and of a bucket that is split.
-ROUNDS, PARTNERS, BLOCK, DENSE, SPLITS = 3, 2, 512, 2048, 10
+#: Rounds against one text a bucket, partners a text then verifies; texts of a block of sketches, of one of
+#: sets, and of a bucket that is split; bands that split it.
+ROUNDS, PARTNERS, BLOCK, SETS, DENSE, SPLITS = 3, 2, 512, 256, 2048, 10
 SAMPLES = BANDS * ROWS
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -156,25 +157,64 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return stash(rows.mapInPandas(_linked, "a binary, b binary"), "odd-links")
 
 
+def _cut(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Frames of a partition sorted by ``keys``, with the bounds of the runs of equal keys that are whole."""
+    rest = None
+    for part in parts:
+        part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+        values = part[keys].to_numpy()
+        edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist()]
+        if len(edges) > 1:
+            yield part, list(zip(edges, edges[1:]))
+        rest = part.iloc[edges[-1] :] if len(part) else None
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True), [(0, len(rest))]
+
+
+def _sides(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row is in block p, p = q, number of its component, key) of each row."""
+    p, same = frame["p"].to_numpy(), (frame["p"] == frame["q"]).to_numpy()
+    return (frame["block"].to_numpy() == p) & ~frame["main"].to_numpy(), same, pd.factorize(frame["label"])[0], frame["key"].to_numpy()
+
+
 def _cross(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within a block pair (p, q) that may be linked."""
+    """Of each pair of blocks (p, q): edges that connect what pairs of different components that may be linked connect."""
     limit = most_odd()
-    for g in _groups(parts, ["bucket", "p", "q"]):
-        p, q = int(g["p"].iloc[0]), int(g["q"].iloc[0])
-        own = ((g["block"] == p) & ~g["main"]).to_numpy()
-        other = own if p == q else ~own
-        keys, labels, n = g["key"].to_numpy(), g["label"].to_numpy(), g["n"].to_numpy()
-        sketch = np.stack(g["sketch"].to_numpy()).view(np.uint64)
-        right = np.flatnonzero(other)
-        a, b = [], []
-        for k, x in enumerate(np.flatnonzero(own).tolist()):
-            to = right[k + 1 :] if p == q else right
-            odd = np.bitwise_count(sketch[to] ^ sketch[x]).sum(1)
-            fit = (odd <= limit) & (labels[to] != labels[x]) & (np.minimum(n[to], n[x]) * OF >= np.maximum(n[to], n[x]) * SHARED)
-            found = to[fit]
-            a += [keys[x]] * len(found)
-            b += keys[found].tolist()
-        yield pd.DataFrame({"a": a, "b": b})
+    for frame, runs in _cut(parts, ["bucket", "p", "q"]):
+        own, same, label, keys = _sides(frame)
+        n, sketch = frame["n"].to_numpy(), np.stack(frame["sketch"].to_numpy()).view(np.uint64)
+        out = []
+        for lo, hi in runs:
+            left = lo + np.flatnonzero(own[lo:hi])
+            right = left if same[lo] else lo + np.flatnonzero(~own[lo:hi])
+            a, b = [], []
+            for k, x in enumerate(left.tolist()):
+                to = right[k + 1 :] if same[lo] else right
+                to = to[label[to] != label[x]]
+                odd = np.bitwise_count(sketch[to] ^ sketch[x]).sum(1)
+                found = to[(odd <= limit) & (np.minimum(n[to], n[x]) * OF >= np.maximum(n[to], n[x]) * SHARED)]
+                a.append(np.full(len(found), x - lo))
+                b.append(found - lo)
+            if sum(map(len, a)):
+                out += [(keys[lo + x], keys[lo + y]) for x, y in _forest(np.concatenate(a), np.concatenate(b), hi - lo)]
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def _exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each pair of blocks (p, q): edges that connect what its links on full sets connect."""
+    for frame, runs in _cut(parts, ["bucket", "p", "q"]):
+        own, same, _, keys = _sides(frame)
+        texts, out = frame["text"].tolist(), []
+        for lo, hi in runs:
+            left = lo + np.flatnonzero(own[lo:hi])
+            order = left if same[lo] else np.concatenate([left, lo + np.flatnonzero(~own[lo:hi])])
+            sets = [s for run in batches([texts[i] for i in order]) for s in word_sets(run)]
+            sizes = np.array([len(s) for s in sets], np.float64)
+            both = _shared(sets, len(left))
+            link = OF * both >= SHARED * (sizes[: len(left), None] + sizes - both)
+            link &= np.arange(len(order)) > np.arange(len(left))[:, None]
+            out += [(keys[order[x]], keys[order[y]]) for x, y in _forest(*np.nonzero(link), len(order))]
+        yield pd.DataFrame(out, columns=["a", "b"])
 
 
 def _with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -185,12 +225,12 @@ def _with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
     """``rows`` (bucket, key, label) once for each pair of blocks that they are held against: texts of the
     bucket's largest component (main) against the others only, and these against each other."""
     sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    blocks = lambda c: F.ceil(c / block).cast("int")
     most = most.select("bucket", F.col("m.label").alias("main_label"), blocks(F.col("m.c")).alias("mains"), blocks(F.col("all") - F.col("m.c")).alias("rests"))
     r = rows.join(most, "bucket").withColumn("main", F.col("label") == F.col("main_label"))
     r = r.withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
@@ -219,9 +259,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         bodies = stash(given.join(met, (given["key"] == met["key"]) & given["doc_id"].eqNullSafe(met["rep"])).select(given["key"], "text").dropDuplicates(["key"]), "bodies")
         labels = None
 
-        def joined(pairs: DataFrame) -> None:
+        def joined(new: DataFrame) -> None:
             nonlocal labels
-            new = verified(pairs, bodies)
             if labels is not None and new.isEmpty():
                 return
             known = new if labels is None else new.unionByName(labels.select(F.col("key").alias("a"), F.col("label").alias("b")))
@@ -241,7 +280,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
             pairs = now.join(pivots, "bucket").filter("label != pivot_label").select(F.col("key").alias("a"), "b").distinct()
             odd = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").select("a", "b", _may_link("a", "b").alias("odd")).filter("odd is not null")
             best = odd.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("odd", "b"))).filter(F.col("r") <= PARTNERS)
-            joined(best.select("a", "b"))
+            joined(verified(best.select("a", "b"), bodies))
         left = stash(_with_labels(members, labels), "members")
         forget(members)
         rest = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg((F.sum("c") - F.max("c")).alias("rest"))
@@ -251,9 +290,13 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         again = F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda k: F.xxhash64("bucket", F.element_at("bands", (F.pmod(offset + k, F.lit(BANDS)) + 1).cast("int"))))
         split = further.select("key", F.explode(again).alias("bucket"))
         buckets = left.select("bucket", "key", "label").join(dense, "bucket", "left_anti").unionByName(_with_labels(split, labels).select("bucket", "key", "label"))
-        blocks = _blocks(stash(buckets, "buckets")).join(sets.select("key", "n", "sketch"), "key")
-        pairs = blocks.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "key").mapInPandas(_cross, "a binary, b binary")
-        joined(stash(pairs, "cross").distinct())
+        dealt = lambda rows: rows.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "key")
+        blocks = _blocks(stash(buckets, "buckets"), BLOCK).join(sets.select("key", "n", "sketch"), "key")
+        near = stash(dealt(blocks).mapInPandas(_cross, "a binary, b binary"), "cross")
+        groups = components(near, "near-stars").withColumnsRenamed({"node": "key", "root": "bucket"})
+        groups = stash(_with_labels(groups, labels), "groups")
+        blocks = _blocks(groups, SETS).join(bodies, "key")
+        joined(stash(dealt(blocks).mapInPandas(_exact, "a binary, b binary"), "odd-links"))
     known = sets.select("key", "rep").withColumn("label", F.col("key")) if labels is None else sets.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = stash(known.join(least, "label").select("key", "component_id"), "named")

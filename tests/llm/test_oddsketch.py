@@ -86,6 +86,7 @@ def near_groups(rng):
 def test_a_template_with_unlike_fillings(spark, monkeypatch, changes):
     monkeypatch.setattr(oddsketch, "DENSE", 60)
     monkeypatch.setattr(oddsketch, "BLOCK", 32)
+    monkeypatch.setattr(oddsketch, "SETS", 16)
     rng = random.Random(changes)
     base, texts = prose(rng, 120), []
     for _ in range(250):
