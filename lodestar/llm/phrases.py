@@ -32,8 +32,8 @@ from .scan import _mix
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: Bytes of a dictionary that is sent to all tasks; beyond, words are joined to their numbers.
 DICTIONARY_BYTES = 24 << 20
-#: Bits of the map of frequent phrases (a power of two), and words of text taken in one go.
-FILTER_BITS, BATCH_BYTES = 1 << 26, 8 << 20
+#: Bits of the map of frequent phrases (a power of two), and bytes of text taken in one go.
+FILTER_BITS, BATCH_BYTES = 1 << 26, 2 << 20
 
 WORD, GAP, CUT = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -56,12 +56,12 @@ class Words:
         inside = np.concatenate([[0], (kind == WORD).view(np.int8), [0]])
         edge = np.diff(inside)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        cuts = np.concatenate([[0], np.cumsum(kind == CUT)])
-        piece = cuts[start]
+        piece = np.searchsorted(np.flatnonzero(kind == CUT), start)
         self.breaks = np.ones(len(start), bool)
         self.breaks[1:] = piece[1:] != piece[:-1]
         offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(body[kind == WORD].tobytes())])
+        del body, kind, inside, edge, end, offsets, piece
         coded, lang = words.dictionary_encode(), langs.dictionary_encode()
         of_row = lang.indices.to_numpy(zero_copy_only=False)[np.searchsorted(ends_text, start, side="right")] if len(start) else np.zeros(0, int)
         many = max(1, len(lang.dictionary))
