@@ -32,8 +32,8 @@ from .scan import _mix
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: Bytes of a dictionary that is sent to all tasks; beyond, words are joined to their numbers.
 DICTIONARY_BYTES = 24 << 20
-#: Bits of the map of frequent phrases (a power of two), and bytes of text taken in one go.
-FILTER_BITS, BATCH_BYTES = 1 << 26, 2 << 20
+#: Bits of the map of frequent phrases (a power of two), and bytes of text and numbers of words taken in one go.
+FILTER_BITS, BATCH_BYTES, BATCH_IDS = 1 << 26, 2 << 20, 3 << 19
 
 WORD, GAP, CUT = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -166,23 +166,32 @@ def _binary(keys: np.ndarray) -> pa.Array:
 
 
 def _keyed(m: int, allowed: np.ndarray | None, bits: int):
-    """Keys of m numbers with their counts in a batch of runs."""
+    """Keys of m numbers with their counts in some rows of runs; rows do not run on into each other."""
+
+    def counted(rows: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate([x for row in rows for x in (row, np.zeros(m, np.uint32))])
+        grid = np.lib.stride_tricks.sliding_window_view(ids, m)
+        whole = (grid != 0).all(1)
+        if allowed is not None:
+            place = place_bits(np.lib.stride_tricks.sliding_window_view(ids, m - 1), bits)
+            may = (allowed[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            whole &= (may[:-1] & may[1:]).astype(bool)
+        keys = grid[whole]
+        keys = keys[radix_order(keys)]
+        at, count = run_lengths(keys)
+        return pa.RecordBatch.from_arrays([_binary(keys[at]), pa.array(count.astype(np.int64))], ["key", "f"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in parts:
             for raw in part.column(0).to_pylist():
-                ids = np.append(np.frombuffer(raw, np.uint32), np.zeros(m, np.uint32))
-                grid = np.lib.stride_tricks.sliding_window_view(ids, m)
-                whole = (grid != 0).all(1)
-                if allowed is not None:
-                    shorter = np.lib.stride_tricks.sliding_window_view(ids, m - 1)
-                    place = place_bits(shorter, bits)
-                    may = (allowed[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                    whole &= (may[:-1] & may[1:]).astype(bool)
-                keys = grid[whole]
-                keys = keys[radix_order(keys)]
-                at, count = run_lengths(keys)
-                yield pa.RecordBatch.from_arrays([_binary(keys[at]), pa.array(count.astype(np.int64))], ["key", "f"])
+                held.append(np.frombuffer(raw, np.uint32))
+                size += len(held[-1])
+                if size >= BATCH_IDS:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
