@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.text import query_form
+
 # Limits, budgets of credit, page turns, and the ids of products.
 MOST_STEPS, REPEATS, IDLE, NEW_IDS = 45, 2, 6, 3
 BUDGETS = {"result_set": 3, "product": 5, "subpage": 6}
@@ -36,7 +38,9 @@ def step(state: dict, row: dict) -> dict:
     """Advance the state by an action and tell what came of it."""
     name, argument = ((row.get(k) or "").strip().casefold() for k in ("action_name", "action_argument"))
     visible = [str(v) for v in (row["visible_asins"] if row.get("visible_asins") is not None else [])]
-    signature = json.dumps([name, argument], ensure_ascii=False)
+    # two searches are the same action if their queries are the same; the name counts as it stands
+    said = query_form(row.get("action_argument")) if row.get("action_name") == "search" else argument
+    signature = json.dumps([name, said], ensure_ascii=False)
     state["repeats"] = state["repeats"] + 1 if signature == state["last"] else 0
     state["last"] = signature
     state["step"] += 1

@@ -112,3 +112,11 @@ def test_sources(spark, tmp_path):
     ids = tables.task_ids(spark.createDataFrame([(None, '{"task_id": 7}'), (3, None)], "task_id long, extra_info string"))
     assert sorted(r.task_id for r in ids.collect()) == [3, 7]
     assert tables.content_digest(df).first().digest == tables.content_digest(df.orderBy("k")).first().digest
+
+
+def test_the_same_search_in_other_punctuation_is_a_repeat():
+    state = tracker.begin()
+    base = {"action_name": "search", "visible_asins": [], "page_type": None, "selected_options": None, "constraint_evidence": []}
+    out = [tracker.step(state, base | {"action_argument": q}) for q in ("红色，裙子 300rmb", "红色 裙子！ 300元", "红色 裙子 300 RMB")]
+    assert [o["repeats"] for o in out] == [0, 1, 2]
+    assert tracker.step(state, base | {"action_name": "Search", "action_argument": "红色，裙子 300元"})["repeats"] == 0
