@@ -30,6 +30,7 @@ BETWEEN, ABOUT = "-~～至到", 0.1
 _UNIT = "|".join(sorted(SAID_UNITS, key=len, reverse=True))
 # Runs are possessive and no amount starts within one, so a text is read once.
 _AMOUNT = re.compile(rf"(?P<n>(?<!\d)\d++(?:\.\d++)?)\s*+(?P<u>{_UNIT})")
+_WHOLE = re.compile(rf"{_AMOUNT.pattern}(?![a-z])")
 _LOW = re.compile(rf"(?P<n>(?<!\d)\d++(?:\.\d++)?)\s*+(?:(?P<u>{_UNIT})\s*+)?[{BETWEEN}]\s*+{_AMOUNT.pattern.replace('<n>', '<m>').replace('<u>', '<v>')}")
 
 
@@ -47,6 +48,12 @@ def _in_base(number: str, unit: str) -> tuple[str, float]:
     return dimension, float(number) * factor
 
 
+def amounts(text: str | None) -> list[tuple[str, float]]:
+    """(dimension, value) of each measure of a text; no letter follows its unit."""
+    folded = unicodedata.normalize("NFKC", text or "").casefold()
+    return [_in_base(m["n"], m["u"]) for m in _WHOLE.finditer(folded)]
+
+
 def bounds(request: str | None) -> list[Bound]:
     """NUM4: ranges first, then at most, at least and about, cues in front before those behind; an amount
     with its cue that touches a range is a part of it.  Nulls and texts without a cue have none."""

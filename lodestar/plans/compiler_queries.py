@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clauses
-from ..operators import compiler
+from ..operators import compiler, visible
 from .catalog import query, read
 
 COLOURS = ("红色", "黑色", "蓝色", "白色", "灰色")
@@ -79,3 +79,18 @@ def recompiled_contracts(spark, sf_dir):
     stored = compiler.compile_contracts(requests_of_parts(spark, sf_dir)).drop("contract")
     now = stored.withColumn("request", F.when(F.col("p_size") % 3 == 0, F.concat("request", F.lit("，至少5斤"))).otherwise(F.col("request")))
     return compiler.recompiled(now, "contract_sha256").select("p_partkey", "intact")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_size, 1 + p_size % 7 AS n, 1 + p_partkey % 7 AS m, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN CASE WHEN n = m THEN 'public_query_option_visible_evidence_v3' END WHEN 1 THEN CASE WHEN n = m THEN 'public_query_option_visible_evidence_v3' END
+ ELSE CASE WHEN n = m THEN 'public_query_option_visible_evidence_v3' WHEN m <= 4 AND n <= 4 THEN 'instruction_numeric_option_constraint_v1' END END AS matched FROM p""")
+def visible_options(spark, sf_dir):
+    """SC12: a required number of boxes that the selection (k = 0) or the product (k = 1) shows, unless another number
+    was chosen; or a length that the request bounds (k = 2)."""
+    n, m, k = (F.col("p_size") % 7 + 1).cast("string"), (F.col("p_partkey") % 7 + 1).cast("string"), F.col("p_partkey") % 3
+    text = lambda number, unit: F.concat(number, F.lit(unit))
+    required = F.when(k == 2, text(n, "0cm")).otherwise(text(n, "盒装"))
+    selected = F.when(k == 2, text(m, "0cm")).otherwise(text(m, "盒装"))
+    shown = F.when(k == 1, F.array("p_name", required)).otherwise(F.array("p_name"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", required.alias("r"), F.array(required).alias("e"), F.array(selected).alias("s"), shown.alias("p"), F.lit("长度不超过40厘米").alias("q"))
+    return rows.select("p_partkey", visible.visible_match()("r", "e", "s", "p", "q").alias("matched"))
