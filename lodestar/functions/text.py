@@ -161,3 +161,42 @@ def exact_spans(text: pd.Series, value: pd.Series) -> pd.Series:
         return [{"start": m.start(), "end": m.end()} for m in re.finditer(re.escape(v), t, re.I)] if t and v else []
 
     return pd.Series([spans(t, v) for t, v in zip(text, value)])
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a machine word of ``a`` at a time: a zero bit is a character
+    of ``a`` that the subsequence has."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for c in b:
+        both = row & masks.get(c, 0)
+        row = ((row + both) | (row - both)) & every
+    return len(a) - row.bit_count()
+
+
+def token_set_ratio(left: str | None, right: str | None) -> int:
+    """STR26: 0 to 100, how much of two texts' sorted distinct tokens agree: 100 if one has all of the other's, else
+    the best of the tokens that differ, with the shared ones before them, and of the shared ones against either
+    side.  Letters and digits count, in lower case; a text without any has 0."""
+    a, b = ({*"".join(c if c.isalnum() else " " for c in (t or "")).lower().split()} for t in (left, right))
+    if not a or not b:
+        return 0
+    shared = len(" ".join(sorted(a & b)))
+    own, other = (" ".join(sorted(x)) for x in (a - b, b - a))
+    if shared and not (own and other):
+        return 100
+    gap = 1 if shared else 0
+    whole = 2 * (shared + gap) + len(own) + len(other)
+    apart = [((len(own) + len(other) - 2 * common_length(own, other)), whole)]
+    if shared:
+        apart += [(gap + len(x), 2 * shared + gap + len(x)) for x in (own, other)]
+    return round(max(100 - 100 * d / n for d, n in apart))
+
+
+@F.pandas_udf(T.IntegerType())
+def fuzzy_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """STR26 of each pair."""
+    return pd.Series([token_set_ratio(a, b) for a, b in zip(left, right)])

@@ -47,6 +47,14 @@ def semantic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", match(F.lit("red ring"), F.col("p_name")).alias("matches"))
 
 
+def name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR26: every part's name against its type and name, and against the name of the part before it."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    before = part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("before"))
+    rows = part.join(before, "p_partkey", "left")
+    return rows.select("p_partkey", text.fuzzy_ratio("p_name", F.concat_ws(" ", "p_type", "p_name")).alias("with_type"), text.fuzzy_ratio("p_name", "before").alias("with_before"))
+
+
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM10: turns over priority bands, with quotas and a cap on orders of a customer.  With one
     order a customer only the best of each customer in a band can be taken (orders without a customer
@@ -80,4 +88,4 @@ def measured_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", F.explode(numbers.measurements(described)).alias("m")).select("p_partkey", "m.dimension", "m.amount")
 
 
-QUERIES = {f.__name__: f for f in (price_expressions, price_constraints, normalized_texts, semantic_matches, greedy_selection, session_progress, measured_texts)}
+QUERIES = {f.__name__: f for f in (price_expressions, price_constraints, normalized_texts, semantic_matches, name_ratios, greedy_selection, session_progress, measured_texts)}

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import measures, numbers, price, text
 from lodestar.operators import options, scoring
+from lodestar.plans import python_queries
 
 
 @pytest.mark.parametrize(
@@ -100,3 +102,41 @@ def test_long_texts_are_read_once(text, found):
 def test_a_line_break_is_no_part_of_a_price():
     (e,) = price.expressions("红色\n300元左右")
     assert e.text == "300元左右" and e.start == 3
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *row[1:]]
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_length_against_a_table():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ab c红") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert text.common_length(a, b) == longest(a, b)
+
+
+@pytest.mark.parametrize("a, b, want", [("fuzzy was a bear", "fuzzy fuzzy was a bear", 100), ("red ring", "Red  ring!", 100), ("red", "blue ring red", 100), ("", "x", 0), (None, None, 0), ("...", "x", 0), ("abc", "abd", 67), ("abc x", "abd x", 80), ("ab", "cd", 0)])
+def test_token_set_ratio(a, b, want):
+    assert text.token_set_ratio(a, b) == text.token_set_ratio(b, a) == want
+
+
+def test_name_ratios(spark):
+    rows = {r.p_partkey: r for r in python_queries.name_ratios(spark, "/root/testdata/sf0.001").collect()}
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    assert len(rows) == len(names) and {r.with_type for r in rows.values()} == {100}
+    for k, r in rows.items():
+        a, b = set(names[k].split()), set((names.get(k - 1) or "").split())
+        own, other, both = (" ".join(sorted(x)) for x in (a - b, b - a, a & b))
+        if not b or both and not (own and other):
+            assert r.with_before == (100 if b else 0)
+        else:
+            full = [" ".join(x for x in (both, y) if x) for y in (own, other)]
+            near = lambda x, y, lcs: 100 * 2 * lcs / (len(x) + len(y))
+            best = [near(*full, (len(both) + 1 if both else 0) + longest(own, other))] + ([near(both, f, len(both)) for f in full] if both else [])
+            assert r.with_before == round(max(best))
