@@ -150,3 +150,32 @@ def pick_core(df: DataFrame, picks: Picks, name: str, score: Column, cost: Calla
             left.remove(best)
             picks.add(best, "core", name)
         turn += quota
+
+
+def pick_roles(df: DataFrame, quotas: dict[str, dict[str, int]], domain_cap: int, seed: str) -> list[tuple[str, str, Row]]:
+    """SM16: (role, band, row) for the quota of every role and band, in their order: the least used strategy of the role,
+    then the least used domain, then a hash; a domain gives ``domain_cap`` rows at most over all roles.
+
+    ``df`` has id (unique), band, strategy and domain.  A pick's cost is its cell's (strategy, domain) but for the
+    hash, so the first rows of each cell, as many as the quota, hold every pick.
+    """
+    domains: Counter = Counter()
+    out: list[tuple[str, str, Row]] = []
+    for role, bands in quotas.items():
+        strategies: Counter = Counter()
+        for band, quota in bands.items():
+            key, ids = f"{seed}|{role}|{band}", [r["id"] for *_, r in out]
+            rows = df.filter(F.col("band") == band).withColumn("family", F.lit(None).cast("string"))
+            rows = rows.filter(~F.col("id").isin(ids)) if ids else rows
+            left = {r["id"]: r for r in first_of_cells(rows, ["strategy", "domain"], F.lit(0), [key], [quota])}
+            hashes = {i: _hash(key, i) for i in left}
+            for _ in range(quota):
+                fit = [r for r in left.values() if domains[r["domain"]] < domain_cap]
+                if not fit:
+                    raise ValueError(f"too few rows for {role} in {band} under the cap of domains")
+                best = min(fit, key=lambda r: (strategies[r["strategy"]], domains[r["domain"]], hashes[r["id"]], r["id"]))
+                del left[best["id"]]
+                strategies[best["strategy"]] += 1
+                domains[best["domain"]] += 1
+                out.append((role, band, best))
+    return out

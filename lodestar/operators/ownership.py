@@ -52,23 +52,60 @@ def even_fill(rows: DataFrame, kept: Column, value: str, bucket: str, order: dic
     free = selection.top_per_group(rows.filter("NOT __kept"), [value, bucket], queue, limit)
     before = old.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__before"))
     free = free.join(before, F.col(value).eqNullSafe(F.col("__v")), "left").drop("__v").withColumn("stage", F.lit(None).cast("int"))
-    stages = [(b, n - counts.get(b, 0), F.col(bucket) == b) for b, n in minimums.items()] + [(None, room, F.lit(True))]
-    for at, (name, short, fits) in enumerate(stages, 1):
-        n = min(short, room)
+    stages = [(b, min(n - counts.get(b, 0), limit), F.col(bucket) == b) for b, n in minimums.items()]
+    free = _in_turns(free, value, queue, [*stages, (None, limit, F.lit(True))], room)
+    drop = [*queue, "__kept"]
+    return old.withColumn("stage", F.lit(0)).drop(*drop).unionByName(free.filter("stage IS NOT NULL").drop("__before", *drop))
+
+
+def fill_cells(rows: DataFrame, before: DataFrame, value: str, cell: str, order: dict[str, Column], allocation: list[tuple[str, int]], cap: int, flag: str, flag_cap: int) -> DataFrame:
+    """SM14: of every cell as many rows as ``allocation`` says, cell after cell, with ``stage`` (the place of the cell from
+    1).  Each pick is of the least used ``value`` (uses of ``before``, taken already, count), then the least by ``order``; a value is
+    used ``cap`` times at most, and ``flag`` rows, which depend on the value alone, ``flag_cap`` times in all.  Raises if
+    the caps leave too few rows.  As in ``even_fill`` a cell costs one window by value and one border on the driver.
+    """
+    queue = [f"__{k}" for k in order]
+    most = max((n for _, n in allocation), default=0)
+    rows = rows.withColumns({f"__{k}": c for k, c in order.items()}).filter(F.col(cell).isin([c for c, n in allocation if n]))
+    free = selection.top_per_group(rows, [value, cell], queue, min(most, cap)).withColumn("stage", F.lit(None).cast("int"))
+    uses = before.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__before"))
+    free = free.join(uses, F.col(value).eqNullSafe(F.col("__v")), "left").drop("__v")
+    flagged = before.agg(F.count_if(F.col(flag))).first()[0]
+    stages = [(c, n, F.col(cell) == c) for c, n in allocation]
+    free = _in_turns(free, value, queue, stages, sum(n for _, n in allocation), cap, flag, flag_cap - flagged)
+    return free.filter("stage IS NOT NULL").drop("__before", *queue)
+
+
+def _in_turns(free: DataFrame, value: str, queue: list[str], stages: list, room: int, cap: int | None = None, flag: str | None = None, flags: int = 0) -> DataFrame:
+    """Mark the picks of each stage (name, rows, fit): rows get their turn (uses of the value before, and their place in its
+    queue), those up to the border of a stage are taken.  Named stages must be filled."""
+    for at, (name, wanted, fits) in enumerate(stages, 1):
+        n = min(wanted, room)
         if n <= 0:
             continue
         open_ = F.col("stage").isNull() & F.coalesce(fits, F.lit(False))
         used = F.coalesce("__before", F.lit(0)) + F.count("stage").over(W.partitionBy(value))
         turn = used + F.row_number().over(W.partitionBy(value, open_).orderBy(*queue))
-        free = free.withColumn("__turn", F.when(open_, F.struct(turn.alias("t"), *queue)))
-        # the first n are found by a bounded sort of each task, their last by an aggregate
-        border = free.filter("__turn IS NOT NULL").select("__turn").orderBy("__turn").limit(n).agg(F.max("__turn").alias("b"), F.count(F.lit(1)).alias("n")).first()
-        if name is not None and border["n"] < n:
-            raise ValueError(f"only {border['n']} of {n} rows left for the minimum of {name}")
-        if border["n"]:
-            last = F.struct(*[F.lit(border["b"][i]).cast(f.dataType).alias(f.name) for i, f in enumerate(free.schema["__turn"].dataType.fields)])
-            free = free.withColumn("stage", F.when(F.col("__turn") <= last, F.lit(at)).otherwise(F.col("stage")))
+        barred = F.lit(False) if cap is None else turn > cap
+        free = free.withColumn("__turn", F.when(open_ & ~barred, F.struct(turn.alias("t"), *queue)))
+        if flag is not None:  # flagged values are queues of their own: those beyond the allowance go, and no other turn changes
+            last = _border(free.filter(flag), flags)
+            over = F.lit(True) if last is None else F.col("__turn") > last
+            free = free.withColumn("__turn", F.when(F.coalesce(F.col(flag), F.lit(False)) & over, None).otherwise(F.col("__turn")))
+        got = free.filter("__turn IS NOT NULL").orderBy("__turn").limit(n).agg(F.count(F.lit(1)), F.count_if(F.col(flag) if flag else F.lit(False))).first()
+        if name is not None and got[0] < n:
+            raise ValueError(f"only {got[0]} of {n} rows left for {name}")
+        if got[0]:
+            free = free.withColumn("stage", F.when(F.col("__turn") <= _border(free, n), F.lit(at)).otherwise(F.col("stage")))
         free = free.drop("__turn")
-        room -= border["n"]
-    drop = [*queue, "__kept"]
-    return old.withColumn("stage", F.lit(0)).drop(*drop).unionByName(free.filter("stage IS NOT NULL").drop("__before", *drop))
+        room -= got[0]
+        flags -= got[1]
+    return free
+
+
+def _border(df: DataFrame, n: int) -> Column | None:
+    """The n-th turn (or the last) as a literal: a bounded sort in each task, then one row."""
+    turns = df.filter("__turn IS NOT NULL").select("__turn")
+    last = turns.orderBy("__turn").limit(n).agg(F.max("__turn")).first()[0] if n > 0 else None
+    kind = df.schema["__turn"].dataType
+    return None if last is None else F.struct(*[F.lit(last[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(kind.fields)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import frontier, ownership
+from ..operators import balance, frontier, ownership, turns
 from .catalog import query, read
 
 #: The order in which strategies own a task; the last one takes what is left.
@@ -94,3 +94,91 @@ def select(df) -> frontier.Picks:
 def evaluation_tasks(spark, sf_dir):
     """SM8, SM9: no SQL, as every pick changes the costs of the next; the tests hold it against the plain greedy."""
     return select(tasks(spark, sf_dir)).frame(spark)
+
+
+# Quotas of strategies, uses of one sequence, of long sequences.
+CORRECTIVE = dict(zip(STRATEGIES, (52, 64, 32, 12)))
+SEQUENCE_CAP, LONG_CAP = 40, 100
+#: Turns of the strategies, one of them twice as often.
+CYCLE = ["dear", "early", "dear", "open"]
+
+
+def sequences(spark, sf_dir):
+    """Orders with the month and status as their sequence; one in eight of these is long."""
+    orders = read(spark, sf_dir, "orders").withColumn("value", F.concat(F.substring(F.to_date("o_orderdate").cast("string"), 1, 7), "o_orderstatus"))
+    return orders.withColumn("long", F.pmod(F.crc32("value"), F.lit(8)) == 0)
+
+
+@query()
+def corrective_turns(spark, sf_dir):
+    """SM11: no SQL, as each pick changes what the next costs; the tests hold it against the plain greedy."""
+    df = sequences(spark, sf_dir).select(F.col("o_orderpriority").alias("queue"), "value", F.col("o_orderkey").cast("long").alias("id"), "long", "o_totalprice")
+    order = [F.col("long"), F.pmod(F.crc32(F.col("id").cast("string")), F.lit(2)) == 0, -F.col("o_totalprice")]
+    total = sum(CORRECTIVE.values())
+    picks = turns.take_turns(turns.reachable(df, order, CORRECTIVE, total, F.col("long")), list(CORRECTIVE), CORRECTIVE, total, SEQUENCE_CAP, LONG_CAP, strict=True)
+    return spark.createDataFrame([(n, q, r["id"], r["value"]) for n, (q, r) in enumerate(picks, 1)], "position long, queue string, id long, value string")
+
+
+@query()
+def strategy_rounds(spark, sf_dir):
+    """SM6: three strategies take turns, each by its own order, and no customer comes twice."""
+    orders, price = read(spark, sf_dir, "orders"), F.col("o_totalprice")
+    ways = {"dear": (price > 100_000, -price), "early": (F.col("o_orderpriority") != "5-LOW", F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01")).cast("double")), "open": (F.col("o_orderstatus") == "O", price)}
+    each = F.array_compact(F.array(*[F.when(fits, F.struct(F.lit(q).alias("queue"), rank.alias("rank"))) for q, (fits, rank) in ways.items()]))
+    df = orders.select(F.col("o_custkey").cast("string").alias("value"), F.col("o_orderkey").cast("long").alias("id"), F.explode(each).alias("e")).filter("value IS NOT NULL").select("value", "id", "e.*")
+    quotas = dict.fromkeys(ways, 80)
+    picks = turns.take_turns(turns.reachable(df, [F.col("rank")], quotas, 80), CYCLE, quotas, 80, 1)
+    return spark.createDataFrame([(n, q, r["id"], r["value"]) for n, (q, r) in enumerate(picks, 1)], "position long, queue string, id long, value string")
+
+
+#: Quotas of roles and bands, and the share of the plan that one domain may hold.
+ROLES = {"main": {"1-URGENT": 20, "3-MEDIUM": 25}, "reserve": {"1-URGENT": 10, "5-LOW": 15}}
+DOMAIN_CAP = 14
+
+
+@query()
+def role_plan(spark, sf_dir):
+    """SM16: the status of an order as its strategy, its year as its domain."""
+    df = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderpriority").alias("band"), F.col("o_orderstatus").alias("strategy"), F.year(F.to_date("o_orderdate")).cast("string").alias("domain"))
+    picks = frontier.pick_roles(df, ROLES, DOMAIN_CAP, SEED)
+    return spark.createDataFrame([(n, role, band, r["id"], r["strategy"], r["domain"]) for n, (role, band, r) in enumerate(picks, 1)], "position long, role string, band string, id long, strategy string, domain string")
+
+
+def _cells(prefix: str) -> list[tuple[str, int]]:
+    return [(f"{prefix}{s}", n) for s, n in (("F", 30), ("O", 20), ("P", 12))]
+
+
+CELLS = [*_cells("1-URGENT|"), *_cells("5-LOW|")]
+_CELLS = ",\n".join([
+    "WITH o AS (SELECT o_orderkey, o_totalprice, left(o_orderdate::VARCHAR, 7) || o_orderstatus AS value, o_orderpriority || '|' || o_orderstatus AS bucket, CASE WHEN o_orderkey < 40 THEN 0 END AS stage FROM orders), s0 AS (SELECT * FROM o)",
+    *[_stage(n, f"s{n - 1}", f"bucket = '{c}'", str(size)) for n, (c, size) in enumerate(CELLS, 1)],
+])
+
+
+@query(_CELLS + " SELECT o_orderkey, value, bucket, stage::INTEGER AS stage FROM s6 WHERE stage > 0")
+def cell_fill(spark, sf_dir):
+    """SM14: cells of priority and status, beside 40 orders taken before (caps wide enough for SQL without them; the tests bind them)."""
+    df = sequences(spark, sf_dir).withColumn("bucket", F.concat_ws("|", "o_orderpriority", "o_orderstatus"))
+    order = {"price": -F.col("o_totalprice"), "id": F.col("o_orderkey")}
+    picks = ownership.fill_cells(df.filter("o_orderkey >= 40"), df.filter("o_orderkey < 40"), "value", "bucket", order, CELLS, 60, "long", 150)
+    return picks.select("o_orderkey", "value", "bucket", "stage")
+
+
+LENGTHS = {"short": 30, "medium": 24, "long": 16}
+
+
+def length_inputs(spark, sf_dir):
+    """Customers as the base set, orders as what arrives."""
+    base = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), F.when(F.col("c_acctbal") < 7000, "short").when(F.col("c_acctbal") < 9500, "medium").otherwise("long").alias("bucket"))
+    price = F.col("o_totalprice")
+    new = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("task_id"), F.when(price < 150_000, "short").when(price < 300_000, "medium").otherwise("long").alias("bucket"), F.col("o_orderkey").alias("pos"),
+        (F.col("o_orderstatus") != "P").alias("accepted"), (F.col("o_custkey") % 10 == 0).alias("held_out"),
+    )
+    return base, new
+
+
+@query()
+def length_balanced(spark, sf_dir):
+    """SM5: no SQL, as rows are taken in order of arrival; the tests hold it against the plain loop."""
+    return balance.length_balance(*length_inputs(spark, sf_dir), LENGTHS, SEED, 0.1)

@@ -5,9 +5,10 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import frontier, ownership
+from lodestar.operators import balance, frontier, ownership, turns
 from lodestar.plans import selection_queries as q
 
 
@@ -127,3 +128,123 @@ def test_owners(spark):
         (2, "z", 0, "required_existing_owned_by_b"), (3, "z", 1, None), (4, "a", 1, None), (4, "b", 1, "owned_by_a"), (6, "a", 1, "required_existing_owned_by_b"), (6, "b", 1, None),
     }
     assert {(r.task_id, r.strategy, r.p, r.reason) for r in got.collect()} == want and all(r.kept == (r.reason is None) for r in got.collect())
+
+
+def plain_turns(rows, cycle, quotas, total, cap, flag_cap):
+    """rows: (queue, value, id, flag, order)."""
+    out, used, taken, gone, flagged = [], Counter(), Counter(), set(), 0
+    while len(out) < total and not all(q in gone or taken[q] >= n for q, n in quotas.items()):
+        for q in cycle:
+            if len(out) >= total or q in gone or taken[q] >= quotas[q]:
+                continue
+            fit = [r for r in rows if r[0] == q and r not in [x for _, x in out] and used[r[1]] < cap and not (r[3] and flagged >= flag_cap)]
+            if not fit:
+                gone.add(q)
+                continue
+            best = min(fit, key=lambda r: (used[r[1]], r[4], r[2]))
+            used[best[1]] += 1
+            taken[q] += 1
+            flagged += best[3]
+            out.append((q, best))
+    return [(q, r[2]) for q, r in out]
+
+
+def test_turns_equal_the_plain_greedy(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(700):
+        v = 0 if rnd.random() < 0.35 else rnd.randrange(1, 40)
+        rows.append((rnd.choice("abc"), f"v{v}", i, v % 4 == 0, rnd.randrange(3)))
+    df = spark.createDataFrame(rows, "queue string, value string, id long, f boolean, o int").repartition(5)
+    for cycle, quotas, total, cap, flags in ((["a", "b", "c"], {"a": 25, "b": 30, "c": 9}, 64, 4, 11), (["a", "b", "a"], {"a": 60, "b": 60}, 60, 1, 10**9), (["c"], {"c": 400}, 400, 50, 30)):
+        got = turns.take_turns(turns.reachable(df, [F.col("o")], quotas, total, F.col("f")), cycle, quotas, total, cap, flags)
+        assert [(q, r["id"]) for q, r in got] == plain_turns(rows, cycle, quotas, total, cap, flags)
+    with pytest.raises(ValueError):
+        turns.take_turns([], ["a"], {"a": 1}, 1, 1, strict=True)
+
+
+def test_turn_queries(spark):
+    sf = "/root/testdata/sf0.001"
+    got = q.strategy_rounds(spark, sf).collect()
+    assert len(got) == 80 and len({r.value for r in got}) == 80 and [r.queue for r in got[:4]] == q.CYCLE
+    got = q.corrective_turns(spark, sf).collect()
+    assert Counter(r.queue for r in got) == q.CORRECTIVE and len({r.id for r in got}) == 160
+
+
+def test_roles_equal_the_plain_greedy(spark):
+    rows = [(i, q.STRATEGIES[i % 5], "abc"[i * i % 3], "hot" if i % 3 else f"d{i % 7}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, band string, strategy string, domain string")
+    domains, ids, want = Counter(), set(), []
+    for role, bands in q.ROLES.items():
+        used = Counter()
+        for band, n in bands.items():
+            for _ in range(n):
+                r = min((r for r in rows if r[1] == band and r[0] not in ids and domains[r[3]] < 14), key=lambda r: (used[r[2]], domains[r[3]], sha(q.SEED, role, band, r[0])))
+                used[r[2]] += 1
+                domains[r[3]] += 1
+                ids.add(r[0])
+                want.append((role, band, r[0]))
+    assert [(a, b, r["id"]) for a, b, r in frontier.pick_roles(df, q.ROLES, 14, q.SEED)] == want
+    with pytest.raises(ValueError):
+        frontier.pick_roles(df, q.ROLES, 2, q.SEED)
+
+
+def test_cells_under_caps_equal_the_plain_greedy(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(600):
+        v = 0 if rnd.random() < 0.4 else rnd.randrange(1, 25)
+        rows.append((i, f"v{v}", rnd.choice("xyz"), rnd.randrange(3), v % 3 == 0))
+    df = spark.createDataFrame(rows, "id long, value string, cell string, quality int, long boolean").repartition(3)
+    allocation = [("y", 30), ("x", 0), ("z", 40)]
+    for cap, flags in ((60, 500), (4, 30), (5, 15)):
+        used, flagged, want = Counter(r[1] for r in rows if r[0] < 20), sum(r[4] for r in rows if r[0] < 20), []
+        for at, (cell, n) in enumerate(allocation, 1):
+            for _ in range(n):
+                r = min((r for r in rows if r[0] >= 20 and r[2] == cell and (r[0], at) not in want and used[r[1]] < cap and not (r[4] and flagged >= flags)), key=lambda r: (used[r[1]], -r[3], r[0]))
+                used[r[1]] += 1
+                flagged += r[4]
+                want.append((r[0], at))
+        got = ownership.fill_cells(df.filter("id >= 20"), df.filter("id < 20"), "value", "cell", {"q": -F.col("quality"), "i": F.col("id")}, allocation, cap, "long", flags)
+        assert sorted((r.id, r.stage) for r in got.collect()) == sorted(want), (cap, flags)
+    with pytest.raises(ValueError):
+        ownership.fill_cells(df, df.filter("id < 0"), "value", "cell", {"i": F.col("id")}, [("x", 100)], 2, "long", 500)
+
+
+def plain_balance(base, new, targets, seed):
+    spare, *grown = targets
+    h = lambda t: hashlib.sha256(f"{seed}:{t}".encode()).hexdigest()
+    status, used, have = {}, set(), Counter()
+    for b in grown:
+        for t, _ in sorted((r for r in base if r[1] == b), key=lambda r: h(r[0]))[: targets[b]]:
+            used.add(t)
+            have[b] += 1
+            status["base", t, None] = "retained"
+    for t, b, pos, ok, held in sorted(new, key=lambda r: r[2]):
+        s = "rejected" if not ok else "held_out_task" if held else "duplicate_task" if t in used else f"new_{spare}_not_used" if b == spare else f"{b}_quota_full" if have[b] >= targets[b] else "added"
+        if s == "added":
+            used.add(t)
+            have[b] += 1
+        status["new", t, pos] = s
+    for t, _ in sorted((r for r in base if r[1] == spare and r[0] not in used), key=lambda r: h(r[0]))[: targets[spare]]:
+        status["base", t, None] = "retained"
+    return {("base", t, None): "not_retained" for t, _ in base} | status
+
+
+def test_length_balance_equals_the_plain_loop(spark):
+    rnd = random.Random(8)
+    sf = "/root/testdata/sf0.001"
+    made = [tuple(map(tuple, df.collect())) for df in q.length_inputs(spark, sf)]
+    base = [(t, rnd.choice(["short", "medium", "long"])) for t in range(60)]
+    new = [(rnd.randrange(30, 110), rnd.choice(["short", "medium", "long", "medium"]), i, rnd.random() < 0.8, rnd.random() < 0.1) for i in range(400)]
+    cases = [(*made, q.LENGTHS), *[(base, new, dict(zip(("short", "medium", "long"), t))) for t in ((5, 40, 30), (90, 25, 60), (5, 10, 5), (10, 500, 500))]]
+    for old, arrived, targets in cases:
+        b = spark.createDataFrame(old, "task_id long, bucket string")
+        n = spark.createDataFrame(arrived, "task_id long, bucket string, pos long, accepted boolean, held_out boolean").repartition(3)
+        got = balance.length_balance(b, n, targets, q.SEED, 0.1).collect()
+        want = plain_balance(old, arrived, targets, q.SEED)
+        assert {(r.origin, r.task_id, r.pos): r.status for r in got} == want and len(got) == len(want), targets
+        for bucket, size in targets.items():
+            ours = [r.split for r in got if r.bucket == bucket and r.status in ("retained", "added")]
+            assert None not in ours and ours.count("validation") == min(len(ours), round(size * 0.1))
+            assert all(r.split is None for r in got if r.status not in ("retained", "added"))
