@@ -179,3 +179,37 @@ def pick_roles(df: DataFrame, quotas: dict[str, dict[str, int]], domain_cap: int
                 domains[best["domain"]] += 1
                 out.append((role, band, best))
     return out
+
+
+def replacements(old: DataFrame, candidates: DataFrame, exact: list[str], costs: Callable[[str, str], list[Column]], eligible: Callable[[str, str], Column], blocked: DataFrame, seed: str, most: int = 1000) -> list[tuple]:
+    """JN18: (old id, new id) for every row of ``old`` in the order of ``at``: the candidate of least ``costs`` (then a hash of both ids)
+    among those equal in ``exact`` and ``eligible``; no candidate and no family serves twice, none of ``blocked`` (family) at all.
+
+    ``old`` (id, at, family and what costs need) is a list of at most ``most`` rows, which is checked, so it is sent to
+    the candidates.  When the n-th old row has its turn fewer than n families are used, so its n best families hold its pick:
+    an aggregate by old row and family, combined before the shuffle, and a cut to n rows are all that is exchanged.
+    """
+    rows = old.select("*", F.row_number().over(W.orderBy("at", "id")).alias("turn")) if old.limit(most + 1).count() <= most else None
+    if rows is None:
+        raise ValueError(f"more than {most} rows to replace")
+    left, right = rows.alias("o"), candidates.join(blocked.select("family").distinct(), "family", "left_anti").alias("c")
+    same = F.lit(True)
+    for c in exact:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"c.{c}"))
+    pairs = right.join(F.broadcast(left), same & eligible("o", "c"))
+    key = F.sha2(F.concat_ws("|", F.lit(seed), F.lit("final"), F.col("o.id").cast("string"), F.col("c.id").cast("string")), 256)
+    cost = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(costs("o", "c"))], key.alias("key"), F.col("c.id").alias("id"))
+    best = pairs.groupBy(F.col("o.id").alias("old"), F.col("o.turn").alias("turn"), F.coalesce(F.col("c.family"), F.concat(F.lit("\0"), F.col("c.id").cast("string"))).alias("family")).agg(F.min(cost).alias("cost"))
+    n = F.row_number().over(W.partitionBy("old").orderBy("cost"))
+    near = best.withColumn("n", n).filter((F.col("n") <= most) & (F.col("n") <= F.col("turn"))).collect()
+    offers: dict = {}
+    for r in sorted(near, key=lambda r: (r["turn"], r["n"])):
+        offers.setdefault(r["old"], []).append(r)
+    used, out = set(), []
+    for (i,) in rows.orderBy("turn").select("id").collect():
+        pick = next((r for r in offers.get(i, []) if r["family"] not in used), None)
+        if pick is None:
+            raise ValueError(f"no replacement for {i}")
+        used.add(pick["family"])
+        out.append((i, pick["cost"]["id"]))
+    return out

@@ -88,24 +88,28 @@ def _in_turns(free: DataFrame, value: str, queue: list[str], stages: list, room:
         turn = used + F.row_number().over(W.partitionBy(value, open_).orderBy(*queue))
         barred = F.lit(False) if cap is None else turn > cap
         free = free.withColumn("__turn", F.when(open_ & ~barred, F.struct(turn.alias("t"), *queue)))
-        if flag is not None:  # flagged values are queues of their own: those beyond the allowance go, and no other turn changes
-            last = _border(free.filter(flag), flags)
+        if flag is not None and flags < n:  # flagged values are queues of their own: those beyond the allowance go, and no other turn changes
+            last = _literal(_first(free.filter(flag), flags)["b"], free) if flags > 0 else None
             over = F.lit(True) if last is None else F.col("__turn") > last
             free = free.withColumn("__turn", F.when(F.coalesce(F.col(flag), F.lit(False)) & over, None).otherwise(F.col("__turn")))
-        got = free.filter("__turn IS NOT NULL").orderBy("__turn").limit(n).agg(F.count(F.lit(1)), F.count_if(F.col(flag) if flag else F.lit(False))).first()
-        if name is not None and got[0] < n:
-            raise ValueError(f"only {got[0]} of {n} rows left for {name}")
-        if got[0]:
-            free = free.withColumn("stage", F.when(F.col("__turn") <= _border(free, n), F.lit(at)).otherwise(F.col("stage")))
+        got = _first(free, n, flag)
+        if name is not None and got["n"] < n:
+            raise ValueError(f"only {got['n']} of {n} rows left for {name}")
+        if got["n"]:
+            free = free.withColumn("stage", F.when(F.col("__turn") <= _literal(got["b"], free), F.lit(at)).otherwise(F.col("stage")))
         free = free.drop("__turn")
-        room -= got[0]
-        flags -= got[1]
+        room -= got["n"]
+        flags -= got["flags"]
     return free
 
 
-def _border(df: DataFrame, n: int) -> Column | None:
-    """The n-th turn (or the last) as a literal: a bounded sort in each task, then one row."""
-    turns = df.filter("__turn IS NOT NULL").select("__turn")
-    last = turns.orderBy("__turn").limit(n).agg(F.max("__turn")).first()[0] if n > 0 else None
-    kind = df.schema["__turn"].dataType
-    return None if last is None else F.struct(*[F.lit(last[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(kind.fields)])
+def _first(df: DataFrame, n: int, flag: str | None = None):
+    """Of the first n turns the last (``b``), their count and how many are flagged: a bounded sort in each task, then one row."""
+    marks = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    first = df.filter("__turn IS NOT NULL").select("__turn", marks.alias("f")).orderBy("__turn").limit(n)
+    return first.agg(F.max("__turn").alias("b"), F.count(F.lit(1)).alias("n"), F.count_if("f").alias("flags")).first()
+
+
+def _literal(turn, df: DataFrame) -> Column | None:
+    """A turn as a literal of its type."""
+    return None if turn is None else F.struct(*[F.lit(turn[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(df.schema["__turn"].dataType.fields)])

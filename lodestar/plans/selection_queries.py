@@ -182,3 +182,25 @@ def length_inputs(spark, sf_dir):
 def length_balanced(spark, sf_dir):
     """SM5: no SQL, as rows are taken in order of arrival; the tests hold it against the plain loop."""
     return balance.length_balance(*length_inputs(spark, sf_dir), LENGTHS, SEED, 0.1)
+
+
+def _tagged(df):
+    """Tasks with their feature tags and a retrieval rank."""
+    key = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(100))
+    flags = {"hard": F.col("score") >= 12, "far": key >= 72, "even": F.col("id") % 2 == 0}
+    return df.withColumn("tags", F.array_compact(F.array(*[F.when(c, t) for t, c in flags.items()]))).withColumn("rank", F.when(key < 97, key))
+
+
+def replaced(df, first: int):
+    tagged = _tagged(df)
+    far = lambda c: F.coalesce(F.col(f"{c}.rank"), F.lit(999))
+    apart = lambda o, c: F.size(F.array_except(f"{o}.tags", f"{c}.tags")) + F.size(F.array_except(f"{c}.tags", f"{o}.tags"))
+    costs = lambda o, c: [apart(o, c), F.abs(F.col(f"{o}.score") - F.col(f"{c}.score")), F.abs(far(o) - far(c))]
+    old, rest = tagged.filter(F.col("id") < first).withColumn("at", F.col("id")), tagged.filter(F.col("id") >= first)
+    return frontier.replacements(old, rest, ["domain", "difficulty_bucket"], costs, lambda o, c: (F.col(f"{o}.score") < 14) | (F.col(f"{c}.score") >= 9), old.select("family"), SEED)
+
+
+@query()
+def replaced_tasks(spark, sf_dir):
+    """JN18, X44: the first 40 orders give way to the nearest of all others; no SQL, as no candidate serves twice."""
+    return spark.createDataFrame(replaced(tasks(spark, sf_dir), 40), "old long, new long")

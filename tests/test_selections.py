@@ -248,3 +248,19 @@ def test_length_balance_equals_the_plain_loop(spark):
             ours = [r.split for r in got if r.bucket == bucket and r.status in ("retained", "added")]
             assert None not in ours and ours.count("validation") == min(len(ours), round(size * 0.1))
             assert all(r.split is None for r in got if r.status not in ("retained", "added"))
+
+
+def test_replacements_equal_the_plain_greedy(spark):
+    df = q.tasks(spark, "/root/testdata/sf0.001").cache()
+    rows = sorted(q._tagged(df).collect(), key=lambda r: r.id)
+    families, used, want = {r.family for r in rows if r.id < 40}, set(), []
+    for o in rows[:40]:
+        fit = [r for r in rows if r.id >= 40 and r.id not in used and r.family not in families and (r.domain, r.difficulty_bucket) == (o.domain, o.difficulty_bucket) and (o.score < 14 or r.score >= 9)]
+        far = lambda r: 999 if r["rank"] is None else r["rank"]
+        best = min(fit, key=lambda r: (len(set(o.tags) ^ set(r.tags)), abs(o.score - r.score), abs(far(o) - far(r)), sha(q.SEED, "final", o.id, r.id)))
+        used.add(best.id)
+        families.add(best.family)
+        want.append((o.id, best.id))
+    assert q.replaced(df, 40) == want
+    with pytest.raises(ValueError):
+        q.replaced(df, 1500)
