@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from lodestar.plans import array_queries, builder_queries, catalog, compiler_queries, contract_queries, feature_queries, python_queries, scoring_queries, selection_queries, trajectory_queries  # noqa: F401
+from lodestar.plans import array_queries, budget_queries, builder_queries, catalog, compiler_queries, contract_queries, feature_queries, python_queries, scoring_queries, selection_queries, trajectory_queries  # noqa: F401
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 duckdb = pytest.importorskip("duckdb")
