@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from json import loads
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +60,32 @@ def stated(text: Column, value: Column) -> Column:
     return F.when(F.size(before) == 0, False).when(F.exists(before, lambda p: ~denied(p)), True)
 
 
-def flat_text(json: Column) -> Column:
-    """RET4, STR11: the keys (sorted) and values of a JSON object of lists and texts, in order."""
-    entries = F.array_sort(F.map_entries(F.from_json(json, "map<string,string>")))
-    listed = lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array(v))
-    return F.flatten(F.transform(entries, lambda e: F.concat(F.array(e["key"]), F.filter(listed(e["value"]), lambda x: x.isNotNull()))))
+def flat_text(json: Column, by_key: bool = True) -> Column:
+    """RET4 (keys sorted), STR11 (keys as they come): keys and values of nested JSON, in order and without nulls.  Of a
+    repeated key the last value counts; null where the text is no JSON."""
+
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _walked(t, by_key))
+
+    return walk(json)
+
+
+def _walked(text: str | None, by_key: bool) -> list[str] | None:
+    try:
+        todo, out = [loads(text)], []
+    except (TypeError, ValueError, RecursionError):
+        return None
+    while todo:  # a stack, so depth is no matter; what is to come first lies on top
+        value = todo.pop()
+        if isinstance(value, dict):
+            keys = sorted(value) if by_key else list(value)
+            todo += [x for k in reversed(keys) for x in (value[k], k)]
+        elif isinstance(value, list):
+            todo += reversed(value)
+        elif value is not None:
+            out.append(str(value))
+    return out
 
 
 def price_steps(price: Column, steps: list[float], count: int = 4) -> Column:

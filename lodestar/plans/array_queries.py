@@ -58,8 +58,8 @@ def price_ladders(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", arrays.price_steps(F.col("p_retailprice"), [900, 950, 1000, 1100, 1500, 2500], 2).alias("steps"))
 
 
-@query("""SELECT p_partkey, 'a|' || p_name || '|' || p_type || '|b|' || p_brand AS words FROM part""")
+@query("""SELECT p_partkey, 'a|n|' || p_name || '|t|s|' || p_size || '|t|' || p_type || '|b|' || p_brand AS words FROM part""")
 def flat_texts(spark, sf_dir):
     """RET4, STR11."""
-    json = F.to_json(F.struct(F.col("p_brand").alias("b"), F.array("p_name", "p_type").alias("a")))
+    json = F.to_json(F.struct(F.col("p_brand").alias("b"), F.struct(F.col("p_name").alias("n"), F.array(F.struct(F.col("p_size").alias("s"), F.col("p_type").alias("t"))).alias("t")).alias("a")))
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(arrays.flat_text(json), "|").alias("words"))

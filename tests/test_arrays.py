@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import arrays
 
@@ -25,3 +26,12 @@ def test_rows_of_kept_groups_and_groups_to_retry(spark):
     kept = spark.createDataFrame([("a", None, False), ("b", "low_reward_variation", True), ("c", "sampling_invalid", False)], "uid string, drop_reason string, retryable boolean")
     stay, again = arrays.split_rewards(rows, "uid", kept)
     assert [r.uid for r in stay.collect()] == ["a"] and [r.uid for r in again.collect()] == ["b"]
+
+
+def test_nested_texts_are_walked(spark):
+    deep = "[" * 200 + '"x"' + "]" * 200
+    rows = [('{"b": [1, {"z": null, "y": ["p", {}]}], "a": true, "b2": 2.5}',), (deep,), (None,), ("",), ("{bad",), ("null",), ('"t"',), ('{"k": 1, "k": 2}',)]
+    df = spark.createDataFrame(rows, "j string").coalesce(1)
+    got = [tuple(r) for r in df.select(arrays.flat_text(F.col("j")), arrays.flat_text(F.col("j"), by_key=False)).collect()]
+    first = (["a", "True", "b", "1", "y", "p", "z", "b2", "2.5"], ["b", "1", "z", "y", "p", "a", "True", "b2", "2.5"])
+    assert got == [first, (["x"], ["x"]), (None, None), (None, None), (None, None), ([], []), (["t"], ["t"]), (["k", "2"], ["k", "2"])]
