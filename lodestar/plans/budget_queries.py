@@ -31,6 +31,6 @@ def fitted_results(spark, sf_dir):
 
 @query()
 def fitted_texts(spark, sf_dir):
-    """JSN4: every document within a budget of bytes; no SQL for the white space at its cuts, held against a plain search in the tests."""
+    """JSN4: every document within a budget of bytes; no SQL for the white space at its cuts; the tests hold its operator against a plain search."""
     fit = budget.fit_body(F.col("text"), F.array(*[F.lit(x) for x in FOOTER]), TEXT, F.octet_length)
     return read(spark, sf_dir, "documents").select("doc_id", fit.alias("t")).select("doc_id", F.octet_length("t").alias("n_bytes"), F.sha2("t", 256).alias("text_sha256"))

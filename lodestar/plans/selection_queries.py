@@ -111,7 +111,7 @@ def sequences(spark, sf_dir):
 
 @query()
 def corrective_turns(spark, sf_dir):
-    """SM11: no SQL, as each pick changes what the next costs; the tests hold it against the plain greedy."""
+    """SM11: no SQL, as each pick changes what the next costs; the tests hold its operator against the plain greedy."""
     df = sequences(spark, sf_dir).select(F.col("o_orderpriority").alias("queue"), "value", F.col("o_orderkey").cast("long").alias("id"), "long", "o_totalprice")
     order = [F.col("long"), F.pmod(F.crc32(F.col("id").cast("string")), F.lit(2)) == 0, -F.col("o_totalprice")]
     total = sum(CORRECTIVE.values())
