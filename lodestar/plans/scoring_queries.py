@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import spread
 from ..operators import options, products, scoring
 from .catalog import query, read
 
@@ -14,7 +15,7 @@ _OPTIONS = "map<string,array<struct<value:string,price:double>>>"
 def _parts(spark: SparkSession, sf_dir: str, cases: list[tuple], schema: str) -> DataFrame:
     """Parts with the case (a row of a dozen) of their number."""
     table = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"c int, {schema}")
-    return read(spark, sf_dir, "part").withColumn("c", (F.col("p_partkey") % len(cases)).cast("int")).join(F.broadcast(table), "c")
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_partkey").withColumn("c", (F.col("p_partkey") % len(cases)).cast("int")).join(F.broadcast(table), "c")
 
 
 _SIZES = {"尺码": [("S", 0.0), ("Ｌ", 2.0)]}
