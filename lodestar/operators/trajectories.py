@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rows import let
+
 #: Versions, endings and errors that the gates know.
 REWARD, GOLD = "shopsimulator-reward-v4", "gold_purchase"
 INFRASTRUCTURE = ("ContextBudgetError", "RemoteDisconnected", "ShopHttpError", "TimeoutError", "URLError")
@@ -51,10 +53,14 @@ def canonical_json(c: Column) -> Column:
 def call_payload(name: Column, arguments: Column, has_call: Column | None = None) -> Column:
     """JSN2: struct (name, parameters, error): bad calls keep a reason and an empty object."""
     raw = F.when(arguments == "", "{}").otherwise(arguments)
-    value = F.try_parse_json(raw)
-    error = F.when(~(F.lit(True) if has_call is None else _true(has_call)), "tool_call_not_object").when(raw.isNull(), "tool_call_arguments_not_object_or_json")
-    error = error.when(value.isNull(), "tool_call_arguments_invalid_json").when(~F.schema_of_variant(value).startswith("OBJECT"), "tool_call_arguments_not_object")
-    return F.struct(F.trim(F.coalesce(name, F.lit(""))).alias("name"), F.when(error.isNull(), F.to_json(value)).otherwise("{}").alias("parameters"), error.alias("error"))
+
+    def read(r: Column) -> Column:
+        value = r["value"]
+        error = F.when(~(F.lit(True) if has_call is None else _true(has_call)), "tool_call_not_object").when(r["raw"].isNull(), "tool_call_arguments_not_object_or_json")
+        error = error.when(value.isNull(), "tool_call_arguments_invalid_json").when(~F.schema_of_variant(value).startswith("OBJECT"), "tool_call_arguments_not_object")
+        return let(error, lambda e: F.struct(F.trim(F.coalesce(name, F.lit(""))).alias("name"), F.when(e.isNull(), F.to_json(value)).otherwise("{}").alias("parameters"), e.alias("error")))
+
+    return let(F.struct(raw.alias("raw"), F.try_parse_json(raw).alias("value")), read)
 
 
 def step_signature(step: Column) -> Column:
@@ -75,7 +81,7 @@ def attempt_signature(event: Column) -> Column:
 def assistant_text(messages: Column, call_id: Column) -> Column:
     """JN16: what the assistant said with a call; the last message that holds the id counts."""
     said = F.filter(messages, lambda m: (m["role"] == "assistant") & _true(F.array_contains(m["call_ids"], call_id)))
-    return F.coalesce(F.get(said, F.size(said) - 1)["content"], F.lit(""))
+    return let(said, lambda s: F.coalesce(F.get(s, F.size(s) - 1)["content"], F.lit("")))
 
 
 def previous_observation(messages: Column, call_id: Column) -> Column:
@@ -288,11 +294,9 @@ def events(steps: Column, blocked: Column, messages: Column) -> Column:
     """WN8: one array of events: blocked calls before the step of their index, those with a bad index last;
     numbered.  Fields: event_id, event_type, tool_name, parameters, parse_error, env_action, text, call_id,
     reason, observation, and of steps: error, raw_tokens, visible_tokens, truncated, footer, latency."""
-    n = F.size(steps)
     none = lambda kind: F.lit(None).cast(kind)
 
-    def of_step(s: Column, i: Column) -> Column:
-        call = call_payload(s["call_name"], s["arguments"], s["call_id"].isNotNull())
+    def of_step(s: Column, i: Column, call: Column, messages: Column) -> Column:
         name = F.coalesce(F.nullif(F.trim(s["tool_name"]), F.lit("")), call["name"])
         return F.struct(
             i.alias("at"), F.lit(1).alias("kind"), i.alias("no"), F.lit("tool_step").alias("event_type"), name.alias("tool_name"), call["parameters"].alias("parameters"), call["error"].alias("parse_error"), s["env_action"].alias("env_action"),
@@ -300,8 +304,7 @@ def events(steps: Column, blocked: Column, messages: Column) -> Column:
             s["raw_tokens"].alias("raw_tokens"), s["visible_tokens"].alias("visible_tokens"), s["truncated"].alias("truncated"), s["footer"].alias("footer"), s["latency"].alias("latency"),
         )
 
-    def of_block(b: Column, i: Column) -> Column:
-        call = call_payload(b["call_name"], b["arguments"], b["call_id"].isNotNull())
+    def of_block(b: Column, i: Column, call: Column, messages: Column, n: Column) -> Column:
         at = F.when((b["step_index"] >= 0) & (b["step_index"] <= n), b["step_index"]).otherwise(n + 1)
         return F.struct(
             at.alias("at"), F.lit(0).alias("kind"), i.alias("no"), F.lit("guard_rejection").alias("event_type"), call["name"].alias("tool_name"), call["parameters"].alias("parameters"), call["error"].alias("parse_error"), none("string").alias("env_action"),
@@ -309,15 +312,24 @@ def events(steps: Column, blocked: Column, messages: Column) -> Column:
             none("long").alias("raw_tokens"), none("long").alias("visible_tokens"), none("boolean").alias("truncated"), none("boolean").alias("footer"), none("double").alias("latency"),
         )
 
-    every = F.array_sort(F.concat(F.transform(steps, of_step), F.transform(blocked, of_block)))
-    return F.transform(every, lambda e, i: e.withField("event_id", F.concat(F.lit("e"), F.lpad((i + 1).cast("string"), 4, "0"))))
+    called = lambda x, make: let(call_payload(x["call_name"], x["arguments"], x["call_id"].isNotNull()), make)
+
+    def whole(g: Column) -> Column:
+        ran = F.transform(g["steps"], lambda s, i: called(s, lambda c: of_step(s, i, c, g["messages"])))
+        stopped = F.transform(g["blocked"], lambda b, i: called(b, lambda c: of_block(b, i, c, g["messages"], F.size(g["steps"]))))
+        return F.transform(F.sort_array(F.concat(ran, stopped)), lambda e, i: e.withField("event_id", F.concat(F.lit("e"), F.lpad((i + 1).cast("string"), 4, "0"))))
+
+    return let(F.struct(steps.alias("steps"), blocked.alias("blocked"), messages.alias("messages")), whole)
 
 
 def repeats(signatures: Column) -> Column:
     """AG7 over an array: struct (again, consecutive)."""
-    n = F.size(signatures)
-    next_ = F.filter(F.transform(signatures, lambda s, i: (i > 0) & (F.get(signatures, i - 1) == s)), _true)
-    return F.struct((n - F.size(F.array_distinct(signatures))).alias("again"), F.size(next_).alias("consecutive"))
+
+    def counted(all_: Column) -> Column:
+        next_ = F.filter(F.transform(all_, lambda s, i: (i > 0) & (F.get(all_, i - 1) == s)), _true)
+        return F.struct((F.size(all_) - F.size(F.array_distinct(all_))).alias("again"), F.size(next_).alias("consecutive"))
+
+    return let(signatures, counted)
 
 
 def strict_success(status: Column, done: Column, terminal_done: Column, over: Column, reward: Column) -> Column:
@@ -331,21 +343,38 @@ def strict_success(status: Column, done: Column, terminal_done: Column, over: Co
 
 def metrics(stream: Column) -> Column:
     """AG6: counts of an event stream."""
-    ran, guards = F.filter(stream, lambda e: e["event_type"] == "tool_step"), F.filter(stream, lambda e: e["event_type"] == "guard_rejection")
+    ran = lambda g: F.filter(g, lambda e: e["event_type"] == "tool_step")
+    guards = lambda g: F.filter(g, lambda e: e["event_type"] == "guard_rejection")
+    tool = lambda rows, *t: F.filter(rows, lambda e: e["tool_name"].isin(*t))
+    kinds = lambda g: F.struct(g.alias("all"), ran(g).alias("ran"), guards(g).alias("guards"))
+
+    def parted(g: Column) -> Column:
+        shown = F.filter(g["ran"], lambda e: e["raw_tokens"].isNotNull())
+        return F.struct(g.alias("g"), tool(g["ran"], "search_products").alias("searched"), tool(g["ran"], "open_product").alias("opened"), shown.alias("shown"))
+
+    def found(p: Column) -> Column:
+        attempts = repeats(F.transform(p["g"]["all"], attempt_signature))
+        searches = repeats(F.transform(p["searched"], lambda e: spaced(F.coalesce(F.get_json_object(e["parameters"], "$.query"), F.lit("")))))
+        total = lambda f: F.aggregate(p["shown"], F.lit(0).cast("long"), lambda a, e: a + F.coalesce(e[f], F.lit(0).cast("long")))
+        return F.struct(p.alias("p"), attempts.alias("attempts"), searches.alias("searches"), total("raw_tokens").alias("raw"), total("visible_tokens").alias("visible"))
+
+    return let(let(let(let(stream, kinds), parted), found), _counts)
+
+
+def _counts(x: Column) -> Column:
+    shown, searched, opens, attempts, searches = x["p"]["shown"], x["p"]["searched"], x["p"]["opened"], x["attempts"], x["searches"]
+    stream, ran, guards = (x["p"]["g"][n] for n in ("all", "ran", "guards"))
     tool = lambda *t: F.filter(ran, lambda e: e["tool_name"].isin(*t))
-    attempts = repeats(F.transform(stream, attempt_signature))
-    searches = repeats(F.transform(tool("search_products"), lambda e: spaced(F.coalesce(F.get_json_object(e["parameters"], "$.query"), F.lit("")))))
-    seen = F.array_distinct(F.flatten(F.transform(tool("search_products"), lambda e: F.regexp_extract_all(e["observation"], F.lit(f"(?<![0-9])({PRODUCT})(?![0-9])"), F.lit(1)))))
-    opened = F.array_distinct(F.array_compact(F.transform(tool("open_product"), lambda e: F.get_json_object(e["parameters"], "$.asin"))))
-    shown = F.filter(ran, lambda e: e["raw_tokens"].isNotNull())
-    total = lambda f: F.aggregate(shown, F.lit(0).cast("long"), lambda a, e: a + F.coalesce(e[f], F.lit(0).cast("long")))
+    pages = F.array_distinct(F.transform(searched, lambda e: e["observation"]))  # a page that came twice is read once
+    seen = F.array_distinct(F.flatten(F.transform(pages, lambda o: F.regexp_extract_all(o, F.lit(f"(?<![0-9])({PRODUCT})(?![0-9])"), F.lit(1)))))
+    opened = F.array_distinct(F.array_compact(F.transform(opens, lambda e: F.get_json_object(e["parameters"], "$.asin"))))
     count = lambda rows, test: F.size(F.filter(rows, lambda e: _true(test(e))))
     return F.struct(
-        F.size(ran).alias("executed"), F.size(stream).alias("attempts"), F.size(tool("search_products")).alias("searches"), F.size(tool("open_product")).alias("opened"), F.size(tool(*PAGES)).alias("pages"), F.size(tool("select_option")).alias("selects"),
+        F.size(ran).alias("executed"), F.size(stream).alias("attempts"), F.size(searched).alias("searches"), F.size(opens).alias("opened"), F.size(tool(*PAGES)).alias("pages"), F.size(tool("select_option")).alias("selects"),
         F.size(tool("buy_now")).alias("buys"), F.size(seen).alias("visible_candidates"), F.size(opened).alias("opened_candidates"), searches["again"].alias("repeated_searches"), searches["consecutive"].alias("consecutive_searches"),
         attempts["again"].alias("repeated_actions"), attempts["consecutive"].alias("consecutive_actions"), F.size(guards).alias("guards"), count(stream, lambda e: e["parse_error"].isNotNull()).alias("malformed"),
         count(guards, lambda e: e["reason"].startswith("schema_")).alias("schema_rejections"), count(ran, lambda e: _given(e["error"])).alias("step_errors"), F.size(shown).alias("projections"), count(shown, lambda e: e["truncated"]).alias("truncated"),
-        total("raw_tokens").alias("raw_tokens"), total("visible_tokens").alias("visible_tokens"), F.when(total("raw_tokens") > 0, total("visible_tokens") / total("raw_tokens")).alias("compression"),
+        x["raw"].alias("raw_tokens"), x["visible"].alias("visible_tokens"), F.when(x["raw"] > 0, x["visible"] / x["raw"]).alias("compression"),
         count(shown, lambda e: ~_true(e["footer"])).alias("footer_failures"), F.aggregate(ran, F.lit(0.0), lambda a, e: a + F.when(e["latency"] >= 0, e["latency"]).otherwise(0.0)).alias("tool_seconds"),
     )
 

@@ -17,25 +17,31 @@ w AS (SELECT *, lag(act) OVER o AS pact, lag(k) OVER o AS pk, lag(kind) OVER o A
 """
 
 
-def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(t, steps, messages, blocked, calls, k of the first event)."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    e = read(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w) - 1).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    e = e.select((F.col("user_id") * 100000 + F.floor(F.col("rn") / 10)).alias("t"), (F.col("rn") % 10).alias("pos"), F.col("event_type").alias("kind"), F.col("value").alias("v"), "k")
-    kind, k, bad = F.col("kind"), F.col("k"), (F.col("kind") == "error") & (F.col("v") > 300)
+def _step(e):
+    """A step of an event (pos, k, v, kind)."""
+    kind, k, bad = e["kind"], e["k"], (e["kind"] == "error") & (e["v"] > 300)
     asin, opt = (10000000 + k % 3).cast("string"), F.concat(F.lit("opt_000000000000000"), (k % 5).cast("string"))
     tool = F.when(kind == "view", "open_product").when(kind == "click", "search_products").when(kind == "signup", "select_option").when(kind == "purchase", "buy_now").otherwise("next_page")
     arguments = F.when(kind == "view", F.concat(F.lit('{"asin": "'), asin, F.lit('"}'))).when(kind == "click", F.concat(F.lit('{"query": "q'), (k % 2).cast("string"), F.lit('"}')))
     arguments = arguments.when(kind == "signup", F.concat(F.lit('{"value":"'), opt, F.lit('"}'))).when(k % 29 == 28, "[1").otherwise("")
     action = F.when(kind == "view", F.concat(F.lit("click["), asin, F.lit("]"))).when(kind == "click", F.concat(F.lit("search[q"), (k % 2).cast("string"), F.lit("]")))
     action = action.when(kind == "signup", F.concat(F.lit("click["), opt, F.lit("]"))).when(kind == "purchase", "click[Buy  Now]".replace("  ", " ")).otherwise("click[Next >]")
-    call = F.concat(F.lit("c"), F.col("pos").cast("string"))
-    step = F.struct(
-        "pos", "k", "v", "kind", tool.alias("tool_name"), action.alias("env_action"), call.alias("call_id"), tool.alias("call_name"), arguments.alias("arguments"), F.lit(_PAGE).alias("observation"),
+    call = F.concat(F.lit("c"), e["pos"].cast("string"))
+    return F.struct(
+        *[e[n].alias(n) for n in ("pos", "k", "v", "kind")], tool.alias("tool_name"), action.alias("env_action"), call.alias("call_id"), tool.alias("call_name"), arguments.alias("arguments"), F.lit(_PAGE).alias("observation"),
         F.concat(F.lit('{"s":'), (k % 2).cast("string"), F.lit("}")).alias("state"), F.when(bad, "boom").alias("error"), F.lit(False).alias("done"), (kind == "purchase").alias("over"), F.lit(False).alias("purchase"),
-        F.when(k % 3 > 0, k.cast("long")).alias("raw_tokens"), F.when(k % 3 > 0, F.floor(k / 2).cast("long")).alias("visible_tokens"), (F.col("v") > 100).alias("truncated"), (k % 2 == 0).alias("footer"), F.col("v").alias("latency"),
+        F.when(k % 3 > 0, k.cast("long")).alias("raw_tokens"), F.when(k % 3 > 0, F.floor(k / 2).cast("long")).alias("visible_tokens"), (e["v"] > 100).alias("truncated"), (k % 2 == 0).alias("footer"), e["v"].alias("latency"),
     )
-    rows = e.groupBy("t").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t, steps, messages, blocked, calls, k of the first event)."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    e = read(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w) - 1).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = e.select((F.col("user_id") * 100000 + F.floor(F.col("rn") / 10)).alias("t"), (F.col("rn") % 10).alias("pos"), F.col("event_type").alias("kind"), F.col("value").alias("v"), "k")
+    # only what differs is shuffled; the rest of a step is made of it after
+    slim = e.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("pos", "k", "v", "kind"))).alias("steps"))
+    rows = slim.withColumn("steps", F.transform("steps", _step))
     none = F.array().cast("array<string>")
     pair = lambda s: F.array(
         F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("say "), s["call_id"]).alias("content"), F.array(s["call_id"]).alias("call_ids"), F.lit(None).cast("string").alias("call_id"), F.lit(False).alias("guard")),
