@@ -50,17 +50,19 @@ def sizes(df: DataFrame, fields: dict[str, tuple[Column, float]]) -> DataFrame:
 
 
 def bm25_scores(index: DataFrame, terms: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """(query, id, score) of all that share a term; ``terms``: (query, term) without repeats.  Only postings of
-    the queries' terms are shuffled."""
+    """(query, id, score) of all that share a term; ``terms``: (query, term) without repeats.  With few terms only
+    sums of a query and document are shuffled, else the postings of the queries' terms."""
     stats = statistics(index) if stats is None else stats
+    small = terms.count() <= SMALL_TERMS
     asked = terms.select("term").distinct()
-    if terms.count() <= SMALL_TERMS:
-        terms, asked = F.broadcast(terms), F.broadcast(asked)
-    index = index.join(asked, "term", "left_semi")
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hit = index.join(terms, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
+    hits = index.join(F.broadcast(asked) if small else asked, "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # what the terms of a query weigh is no larger than the queries: where these are few, no posting is shuffled by term
+    weighed = (F.broadcast(terms) if small else terms).join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(FLOOR) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weighed = weighed.select("query", "term", F.when(idf > 0, idf).otherwise(FLOOR).alias("idf"), "avgdl")
+    hit = index.join(F.broadcast(weighed), "term") if small else hits.join(weighed, "term")
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query", "id").agg(F.sum(part).alias("score"))
 
 
