@@ -13,8 +13,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.rows import spread
 from ..functions.text import query_form
 
 # Limits, budgets of credit, page turns, and the ids of products.
@@ -24,18 +26,28 @@ PAGE_TURNS = ("next >", "< prev")
 
 OUT = "session_id string, pos long, step int, repeats int, idle int, progress array<string>, credited array<string>, reason string, subreason string"
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+SCHEMA = pa.schema([(n, _ARROW[t]) for n, t in map(str.split, OUT.split(", "))])
 
 
 def begin() -> dict:
     return {"step": 0, "last": None, "repeats": 0, "idle": 0, "ids": [], "seen": [], "credit": {}}
 
 
+class Known:
+    """The lists of a state with what they hold as sets, so that an action costs what it brings, not what came before."""
+
+    def __init__(self, state: dict):
+        self.ids, self.seen = set(state["ids"]), set(state["seen"])
+
+
 def _is_product(text: str) -> bool:
     return text.isascii() and text.isdigit() and 8 <= len(text) <= 12
 
 
-def step(state: dict, row: dict) -> dict:
-    """Advance the state by an action and tell what came of it."""
+def step(state: dict, row: dict, known: Known | None = None) -> dict:
+    """Advance the state by an action and tell what came of it; ``known``, if given, goes with the state."""
+    known = Known(state) if known is None else known
     name, argument = ((row.get(k) or "").strip().casefold() for k in ("action_name", "action_argument"))
     visible = [str(v) for v in (row["visible_asins"] if row.get("visible_asins") is not None else [])]
     # two searches are the same action if their queries are the same; the name counts as it stands
@@ -44,9 +56,9 @@ def step(state: dict, row: dict) -> dict:
     state["repeats"] = state["repeats"] + 1 if signature == state["last"] else 0
     state["last"] = signature
     state["step"] += 1
-    known = set(state["ids"])
-    new = [v for v in dict.fromkeys(visible) if v not in known]
+    new = [v for v in dict.fromkeys(visible) if v not in known.ids]
     state["ids"] += new
+    known.ids.update(new)
 
     # (kind, key, counts as progress, may be credited)
     found: list[tuple[str, str, bool, bool]] = []
@@ -62,7 +74,7 @@ def step(state: dict, row: dict) -> dict:
     evidence = row.get("constraint_evidence")
     found += [("constraint", str(e), True, True) for e in (evidence if evidence is not None else [])]
 
-    seen, progress, credited = set(state["seen"]), [], []
+    seen, progress, credited = known.seen, [], []
     for kind, key, counts, may in found:
         mark = f"{kind}:{key}"
         if mark in seen:
@@ -93,16 +105,31 @@ def reset_idle(state: dict) -> dict:
 
 
 def _run(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
+    out, known = [], Known(state)
     for row in rows.sort_values("pos", kind="stable").to_dict("records"):
-        out.append({"session_id": row["session_id"], "pos": row["pos"]} | step(state, row))
+        out.append({"session_id": row["session_id"], "pos": row["pos"]} | step(state, row, known))
     return pd.DataFrame(out, columns=COLUMNS)
 
 
 def track(actions: DataFrame) -> DataFrame:
     """ST1 in batch: one row per action (session_id, pos, action_name, action_argument,
-    visible_asins, page_type, selected_options, constraint_evidence)."""
-    return actions.groupBy("session_id").applyInPandas(lambda p: _run(begin(), p), OUT)
+    visible_asins, page_type, selected_options, constraint_evidence).  Sessions come one after another in
+    sorted partitions, in batches of any cut: a short session costs no frame of its own, a long one is not held whole."""
+    rows = spread(actions, "session_id").sortWithinPartitions("session_id", "pos")
+    return rows.mapInArrow(_walk, OUT)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    session, state, known = None, None, None
+    for batch in batches:
+        made: dict[str, list] = {c: [] for c in COLUMNS}
+        for row in batch.to_pylist():
+            if state is None or row["session_id"] != session:
+                session, state = row["session_id"], begin()
+                known = Known(state)
+            for name, value in ({"session_id": session, "pos": row["pos"]} | step(state, row, known)).items():
+                made[name].append(value)
+        yield pa.RecordBatch.from_pydict(made, schema=SCHEMA)
 
 
 def track_stream(actions: DataFrame) -> DataFrame:
