@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import let
 from .text import fold
 
 # Fixed values -------------------------------------------------------------------------------
@@ -162,7 +163,11 @@ def is_background(clause: Column, said: Column) -> Column:
 def partition(found: Column, clauses: Column) -> Column:
     """STR25: struct (required, optional) of evidence.  Evidence is optional if every clause with it makes it
     so, and none at all if every clause is background."""
-    having = lambda e: F.filter(clauses, lambda c: F.contains(c["form"], e["form"]))
-    void = lambda e: (F.size(having(e)) > 0) & F.forall(having(e), lambda c: is_background(c["form"], e["form"]))
-    light = lambda e: (F.size(having(e)) > 0) & F.forall(having(e), lambda c: is_optional(c["form"], e["form"]) | is_background(c["form"], e["form"]))
-    return F.struct(F.filter(found, lambda e: ~void(e) & ~light(e)).alias("required"), F.filter(found, lambda e: ~void(e) & light(e)).alias("optional"))
+    def weighed(e: Column) -> Column:
+        having = F.filter(clauses, lambda c: F.contains(c["form"], e["form"]))
+        told = lambda h: F.transform(h, lambda c: F.when(is_background(c["form"], e["form"]), 2).when(is_optional(c["form"], e["form"]), 1).otherwise(0))
+        # how light the clauses with it make it: 2 all background, 1 all optional or background, 0 one requires it
+        return F.struct(e.alias("e"), F.when(F.size(having) > 0, F.array_min(told(having))).otherwise(0).alias("light"))
+
+    of = lambda all_, n: F.transform(F.filter(all_, lambda x: x["light"] == n), lambda x: x["e"])
+    return let(F.transform(found, weighed), lambda all_: F.struct(of(all_, 0).alias("required"), of(all_, 1).alias("optional")))

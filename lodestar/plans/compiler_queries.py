@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clauses
+from ..functions.rows import spread
 from ..operators import compiler, visible
 from .catalog import query, read
 
@@ -24,7 +25,7 @@ def requests_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = [F.concat(F.lit("购买"), "p_type"), said, F.concat(F.lit("预算不超过"), (F.col("p_size") * 10 + 100).cast("string"), F.lit("元")), F.when(F.col("p_size") % 2 == 0, F.lit("不需要售后"))]
     listed = F.array(*[F.struct(F.lit(c).alias("value"), F.lit(1.0).alias("price")) for c in COLOURS])
     none = F.lit(None)
-    return read(spark, sf_dir, "part").select(
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey", "p_type", "p_brand", "p_name", "p_size", F.concat_ws("，", *pieces).alias("request"), F.concat(F.lit("parts › "), "p_type").alias("category"), F.col("p_name").alias("title"), none.cast("string").alias("shop"),
         none.cast("string").alias("description"), none.cast("array<string>").alias("attributes"), F.array(colour).alias("wanted"), F.create_map(F.lit("颜色分类"), listed).alias("options"),
     )
@@ -43,7 +44,7 @@ def request_clauses(spark, sf_dir):
 def evidence_spans(spark, sf_dir):
     """STR24: what each part's name holds of its own type and brand and of the type of its neighbour by size, whole,
     in parts or aligned; a test holds it against a plain aligner."""
-    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.array("p_type", "p_brand", F.concat(F.substring("p_name", 3, 9), F.lit("x")), F.reverse("p_name")).alias("wanted"))
+    rows = spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_name", F.array("p_type", "p_brand", F.concat(F.substring("p_name", 3, 9), F.lit("x")), F.reverse("p_name")).alias("wanted"))
     found = rows.select("p_partkey", "p_name", "wanted", clauses.evidence()("p_name", "wanted").alias("f"))
     pairs = found.select("p_partkey", "p_name", F.posexplode(F.arrays_zip("wanted", "f")).alias("i", "x"))
     return pairs.select("p_partkey", "p_name", "i", F.col("x.wanted").alias("value"), F.transform("x.f", lambda s: s["text"]).alias("spans"))
