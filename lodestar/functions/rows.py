@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch of texts.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often and in whatever lambda
@@ -16,3 +19,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` over all shuffle partitions: rows that cost milliseconds each stand by the
     million in a file of a few splits."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of ``ARROW_ROWS`` rows and ``ARROW_BYTES`` bytes at most, unless the session asks for less: a
+    Python worker holds a batch of texts, what it makes of it, and the next one."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    return spark

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, price, text
+from ..functions.rows import small_batches
 from ..operators import selection
 from ..streaming import tracker
 
@@ -18,7 +19,7 @@ REQUESTS = (
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests, and the text of every document (with ``doc_id`` in place of ``request_id``)."""
-    own = spark.createDataFrame(list(enumerate(REQUESTS)), "request_id int, text string").withColumn("doc_id", F.lit(None).cast("long"))
+    own = small_batches(spark).createDataFrame(list(enumerate(REQUESTS)), "request_id int, text string").withColumn("doc_id", F.lit(None).cast("long"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.unionByName(docs, allowMissingColumns=True)
 
