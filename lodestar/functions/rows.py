@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +33,18 @@ def small_batches(spark: SparkSession) -> SparkSession:
         if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
     return spark
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir`` and read again, for jobs that come back to it (a temporary
+    folder only where none is set and all runs in one process)."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestar.work.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+        spark.conf.set("lodestar.work.dir", found)
+    path = f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

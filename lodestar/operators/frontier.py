@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rows import kept
+
 #: Fixed costs are counted in these parts of one, so sums and ties are exact.
 PARTS = 1_000_000
 
@@ -90,7 +92,8 @@ def placed(df: DataFrame, score: Column, pieces: int = 64) -> tuple[DataFrame, i
         before.append(F.lit(total).cast("long"))
         total += sizes.get(i, 0)
     number = F.row_number().over(W.partitionBy("__range").orderBy("__at")) - 1
-    return rows.withColumn("place", F.element_at(F.array(*before), F.col("__range") + 1) + number).drop("__at", "__range"), total
+    # written in ranges of places: each window reads its own, none numbers all rows again
+    return kept(rows.withColumn("place", F.element_at(F.array(*before), F.col("__range") + 1) + number).drop("__at", "__range"), "placed"), total
 
 
 def window(df: DataFrame, total: int, start: float, end: float) -> DataFrame:
