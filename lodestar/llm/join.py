@@ -160,13 +160,16 @@ def candidates(sets: DataFrame) -> DataFrame:
         if depth == DEPTH:
             ties.append(stash(big.filter("eid != pivot").select(F.col("eid").alias("a"), F.col("pivot").alias("b")), "ties"))
             break
-        pivots = big.select("node", "pivot").distinct().join(sets.select(F.col("eid").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "pivot")
-        met = big.select("node", "eid").join(sets, "eid").join(pivots, "node").filter("eid != pivot")
+        # nodes of near copies name the same few pivots: a set meets each of its pivots once, whatever nodes they share
+        met = big.filter("eid != pivot").groupBy("eid", "pivot").agg(F.collect_list("node").alias("nodes")).join(sets, "eid")
+        pivots = big.select("pivot").distinct().join(sets.select(F.col("eid").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "pivot")
+        met = met.join(broadcast_if_small(pivots, n_big // NODE, 24 + 16 * SKETCH), "pivot")
         # sizes tell nothing here: what is similar to a set that leaves is tied, be it no link of the pivot's
         near = estimate(F.col("sketch"), F.col("n"), F.col("ps"), F.col("pn"))
         # children: tokens that the node samples again, 1 / (4/5) of them to be expected
-        again = F.filter("sketch", lambda t: F.shiftrightunsigned(F.xxhash64(F.col("node"), t), 1) < (F.lit(TOP) * OF / SHARED / F.greatest(F.size("sketch"), F.lit(1))))
-        children = F.when(F.col("near") < LEAVE, F.transform(again, lambda t: F.xxhash64(F.col("node"), t, F.lit(depth)))).otherwise(F.array().cast("array<bigint>"))
+        again = lambda node: F.filter("sketch", lambda t: F.shiftrightunsigned(F.xxhash64(node, t), 1) < (F.lit(TOP) * OF / SHARED / F.greatest(F.size("sketch"), F.lit(1))))
+        below = F.flatten(F.transform("nodes", lambda node: F.transform(again(node), lambda t: F.xxhash64(node, t, F.lit(depth)))))
+        children = F.when(F.col("near") < LEAVE, below).otherwise(F.array().cast("array<bigint>"))
         step = stash(met.withColumn("near", near).select("eid", "pivot", "near", children.alias("children")), "met")
         ties.append(step.filter(F.col("near") >= TIE).select(F.col("eid").alias("a"), F.col("pivot").alias("b")))
         rows = step.select("eid", F.explode("children").alias("node")).distinct()

@@ -136,6 +136,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_set_meets_a_pivot_once(spark, monkeypatch):
+    """Near copies share many nodes of one pivot: a set met it once a node."""
+    rng = random.Random(9)
+    base = prose(rng, 200).split()
+    texts = [" ".join(base[:at] + [f"w{at}"] + base[at + 1 :]) for at in range(len(base))][:150]
+    met, stash = [], join.stash
+    monkeypatch.setattr(join, "stash", lambda rows, label: (out := stash(rows, label), label == "met" and met.append(out))[0])
+    found = join.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert met and all(m.count() == m.select("eid", "pivot").distinct().count() for m in met)
+    assert {r.class_id for r in found} == {0} and {r.n_links for r in found} == {len(texts) - 1}
+
+
 # --- 5 ---
 
 
