@@ -41,7 +41,10 @@ BITS, PACKED, AGREE = 7, 9, 9
 #: Buckets of more than one in HOT of all rows are salted, SALT ways; ids of one in SAMPLE tell.
 HOT, SALT, SAMPLE = 200, 64, 64
 #: Lines in a block, where all pairs of a bucket are looked at.
-LINES = 1024
+LINES = 256
+#: Lines outside the largest group of a bucket from which on the bucket's pairs are tested where they meet: at most
+#: so many pairs a line and band are listed otherwise.
+MANY = 32
 #: Cells of a sketch, and how far an estimate may fall short, by the root of the cells that hold several shingles.
 CELLS, SLACK = 512, 1.8
 #: Differences that an estimate may have, by the number of cells that are filled.
@@ -104,9 +107,18 @@ def _packed() -> Column:
     return F.struct("id", *[pack(k) for k in range(BANDS * ROWS // PACKED)])
 
 
+def _key(k: int) -> Column:
+    return F.xxhash64(F.lit(k), *[f"d{k * ROWS + r}" for r in range(ROWS)])
+
+
+def _bucket_ids(signed: DataFrame) -> DataFrame:
+    """(key: bucket, id) of each line and band."""
+    return signed.select("id", F.explode(F.array(*[_key(k) for k in range(BANDS)])).alias("key")).select("key", "id")
+
+
 def _buckets(signed: DataFrame) -> DataFrame:
     """(me: id and packed draws, key: bucket, next: a further draw), a row for each line and band."""
-    band = lambda k: F.struct(F.xxhash64(F.lit(k), *[f"d{k * ROWS + r}" for r in range(ROWS)]).alias("key"), F.col(f"d{(k * ROWS + ROWS) % (BANDS * ROWS)}").alias("next"))
+    band = lambda k: F.struct(_key(k).alias("key"), F.col(f"d{(k * ROWS + ROWS) % (BANDS * ROWS)}").alias("next"))
     rows = signed.select(_packed().alias("me"), F.array(*[band(k) for k in range(BANDS)]).alias("bands")).select("me", F.explode("bands").alias("b"))
     return rows.select("me", F.col("b")["key"].alias("key"), F.col("b")["next"].alias("next"))
 
@@ -164,30 +176,53 @@ def _near(a: Column, b: Column) -> Column:
     return lone + 2 * differ <= F.get(F.lit(ALLOWED), used)
 
 
+def _marks(line: Column) -> Column:
+    """The set of a line by 32 bits of each hash."""
+    return F.array_distinct(F.transform(_shingles(line), lambda h: F.shiftright(h, 32).cast("int")))
+
+
+def _alike(key: Column, a: Column, b: Column) -> Column:
+    """The lines ``a`` and ``b`` (keys: their buckets, marks) may be similar, asked in the first bucket that they share;
+    one shingle more, as two may share a mark.  Within a lambda, as it is not to be inlined in the loop of a join."""
+    p, q = a["marks"], b["marks"]
+    first = F.array_min(F.array_intersect(a["keys"], b["keys"])) == key
+    return F.exists(F.array(F.lit(0)), lambda _: first & ((F.size(F.array_intersect(p, q)) + 1) * (OF + SHARED) >= (F.size(p) + F.size(q)) * SHARED))
+
+
 def remaining_pairs(df: DataFrame, signed: DataFrame, keys: DataFrame, n_keys: int, tied: DataFrame, n_tied: int, text: str) -> DataFrame:
     """(a, b) of all lines that share one of the buckets ``keys``, are near by their sketches and are not
     in one component (node, root) yet.  One of the two is not in the largest component of the
-    bucket, so those lines are held against all, block against block."""
+    bucket, so those lines are held against all, block against block.  Where they are many, near variants that
+    are no links would be listed by the square of their number: there, lines bring their marks, and only pairs
+    that are similar by these leave the join."""
     of_id = broadcast_if_small(tied.select(F.col("node").alias("id"), "root"), n_tied, 24)
-    rows = _buckets(signed).select("key", F.col("me")["id"].alias("id")).join(broadcast_if_small(keys, n_keys, 16), "key")
+    rows = _bucket_ids(signed).join(broadcast_if_small(keys, n_keys, 16), "key")
     rows = stash(rows.join(of_id, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "line-dense")
     parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     tops = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("top")).filter(F.col("c") > F.col("top")["c"])
     blocks = lambda n: F.ceil(n / LINES).cast("int")
-    tops = stash(tops.select("key", F.col("top")["root"].alias("top"), blocks(F.col("c") - F.col("top")["c"]).alias("rows"), blocks(F.col("c")).alias("columns")), "line-tops")
+    tops = stash(tops.select("key", F.col("top")["root"].alias("top"), blocks(F.col("c") - F.col("top")["c"]).alias("rows"), blocks(F.col("c")).alias("columns"), (F.col("c") - F.col("top")["c"] > MANY).alias("many")), "line-tops")
     open_ = stash(rows.join(broadcast_if_small(tops, tops.count(), 32), "key"), "line-open")
-    ids = stash(open_.select("id").distinct(), "line-open-ids")
-    n_ids = ids.count()
-    sketches = stash(_sketches(_texts(df, ids, n_ids, text)), "line-sketches")
-    own = F.struct("id", *[f"{name}{k}" for k in range(CELLS // 64) for name in "bf"]).alias("me")
-    open_ = open_.join(broadcast_if_small(sketches, n_ids, 16 + CELLS // 4), "id").select("key", "root", "top", "rows", "columns", own)
+    ids = stash(open_.groupBy("id").agg(F.max("many").alias("many"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("keys")), "line-open-ids")
+    n_ids, n_many = ids.agg(F.count(F.lit(1)), F.count(F.when(F.col("many"), 1))).first()
+    sketches = stash(_sketches(_texts(df, ids.select("id"), n_ids, text)), "line-sketches")
+    open_ = open_.join(broadcast_if_small(sketches, n_ids, 16 + CELLS // 4), "id")
+    if n_many:
+        marks = stash(_texts(df, ids.filter("many").select("id"), n_many, text).select("id", _marks(F.col("line")).alias("marks")).join(ids.select("id", "keys"), "id"), "line-marks")
+        n_marks = marks.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
+        open_ = open_.join(broadcast_if_small(marks, n_marks + 32 * n_many, 4), "id", "left")
+    else:
+        open_ = open_.withColumns({"marks": F.lit(None).cast("array<int>"), "keys": F.lit(None).cast("array<bigint>")})
+    own = F.struct("id", *[f"{name}{k}" for k in range(CELLS // 64) for name in "bf"], *[F.when(F.col("many"), F.col(name)).alias(name) for name in ("marks", "keys")]).alias("me")
+    open_ = open_.select("key", "root", "top", "rows", "columns", own)
     block = lambda n: F.pmod(F.xxhash64(F.col("me")["id"], F.lit(7)), F.col(n)).cast("int")
     some = open_.filter("root != top").select("key", "me", "root", block("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
     every = open_.select("key", F.col("me").alias("other"), F.col("root").alias("far"), "top", block("columns").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
     a, b = F.col("me")["id"], F.col("other")["id"]
     differ = (F.col("root") != F.col("far")) & ((F.col("far") == F.col("top")) | (a < b))
     same = (some["key"] == every["key"]) & (some["i"] == every["i"]) & (some["j"] == every["j"])
-    met = some.join(every, same & differ & _near(F.col("me"), F.col("other")))
+    alike = F.col("me")["marks"].isNull() | _alike(some["key"], F.col("me"), F.col("other"))
+    met = some.join(every, same & differ & _near(F.col("me"), F.col("other")) & alike)
     return met.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 

@@ -125,6 +125,21 @@ def test_all_pairs_of_a_bucket(spark):
     assert [t for t, c in shared if ids[t] not in root or root[ids[t]] != root.get(ids[c])] == []
 
 
+def test_near_variants_are_not_listed(spark, monkeypatch):
+    """Of lines on one template just below a link, every pair was listed and joined with its texts."""
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    form = make(120)
+    texts = [form + "".join(chr(0x4E00 + 16 * k + j) for j in range(16)) for k in range(80)]  # 112 of 144 shingles are shared
+    texts += [t[:-3] + make(3) for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed, stash = [], lines.stash
+    monkeypatch.setattr(lines, "stash", lambda rows, label: (out := stash(rows, label), label == "line-remaining" and listed.append(out.count()))[0])
+    found = {(r.id, r.root) for r in lines.classes(df).collect()}
+    assert sum(listed) < 500
+    assert len(found) == 40 and len({root for _, root in found}) == 20
+
+
 def test_lines_of_odd_rows(spark, tables, plain_docs):
     assert lines.op2_fuzzy_lines(spark, tables).count() == len(plain_docs)
 
