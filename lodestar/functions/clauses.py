@@ -49,6 +49,7 @@ COVERED = 0.60
 
 _SCOPE, _LINKS, _LONGEST = re.compile(SCOPE), frozenset(LINKS), max(map(len, LINKS))
 SAID = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("form", T.StringType())]))
+FOUND = T.ArrayType(T.StructType([T.StructField("step", T.StringType()), T.StructField("text", T.StringType())]))
 
 
 def form(text: str | None) -> str:
@@ -94,25 +95,31 @@ def split_clauses(text: str | None) -> list[str]:
     return list(dict.fromkeys(s for clause in re.split(PUNCTUATION, text or "") for s in scopes(clause)))
 
 
-def found_evidence(request_form: str, value: str | None, aliases: dict[str, str], others: dict[str, list[str]]) -> list[str]:
-    """STR24: what of a request speaks for a value: the value itself, else its parts, aliases of it, and the
-    blocks of an alignment if they cover enough of it."""
+def evidence_steps(request_form: str, value: str | None, aliases: dict[str, str], others: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """STR24: what of a request speaks for a value, each with its step: the value itself (``whole``), else its parts
+    (``part``), aliases of it (``alias``), and the blocks of an alignment if they cover enough of it (``block``)."""
     value = (value or "").strip()
     want = form(value)
     if not want:
         return []
     if want in request_form:
-        return [value]
-    out = [p for p in re.split(r"[^0-9a-zA-Z一-鿿]+", value) if len(form(p)) >= 2 and form(p) in request_form]
-    out += [a for a in others.get(aliases.get(want, ""), ()) if len(a) >= 2 and a in request_form]
+        return [("whole", value)]
+    out = [("part", p) for p in re.split(r"[^0-9a-zA-Z一-鿿]+", value) if len(form(p)) >= 2 and form(p) in request_form]
+    name = aliases.get(want)
+    out += [("alias", a) for a in (others.get(name, ()) if name else ()) if len(a) >= 2 and a in request_form]
     coded = re.search("[a-z]", want) and re.search(r"\d", want) and not re.fullmatch(MEASURE, want)
     if not coded:
         blocks = [want[b.a : b.a + b.size] for b in difflib.SequenceMatcher(None, want, request_form, autojunk=False).get_matching_blocks() if b.size > 1]
         if sum(map(len, blocks)) >= COVERED * len(want):
-            out += blocks
+            out += [("block", b) for b in blocks]
     return list(dict.fromkeys(out))
 
 
+def found_evidence(request_form: str, value: str | None, aliases: dict[str, str], others: dict[str, list[str]]) -> list[str]:
+    """STR24: what all steps find, in their order, each text once."""
+    return list(dict.fromkeys(text for _, text in evidence_steps(request_form, value, aliases, others)))
+
+
 def _said(texts: list[str]) -> list[dict]:
     return [{"text": t, "form": form(t)} for t in texts]
 
@@ -123,23 +130,32 @@ def segments(requests: pd.Series) -> pd.Series:
     return requests.map(lambda t: _said(split_clauses(t)))
 
 
-def evidence(aliases: dict[str, str] | None = None):
-    """STR24 as an Arrow UDF (request, values) -> for each value what of the request speaks for it.
-    ``aliases``: form -> canonical form.  Nulls are empty."""
+def _searched(find, kind: T.DataType, aliases: dict[str, str] | None):
     aliases = aliases or {}
     others: dict[str, list[str]] = {}
     for a, c in aliases.items():
         others.setdefault(c, []).append(a)
 
-    @F.pandas_udf(T.ArrayType(SAID))
-    def find(requests: pd.Series, values: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.ArrayType(kind))
+    def search(requests: pd.Series, values: pd.Series) -> pd.Series:
         out = []
         for request, wanted in zip(requests, values):
             whole = form(request)
-            out.append([_said(found_evidence(whole, v, aliases, others)) for v in (wanted if wanted is not None else ())])
+            out.append([find(whole, v, aliases, others) for v in (wanted if wanted is not None else ())])
         return pd.Series(out)
 
-    return find
+    return search
+
+
+def evidence(aliases: dict[str, str] | None = None):
+    """STR24 as an Arrow UDF (request, values) -> for each value what of the request speaks for it.
+    ``aliases``: form -> canonical form.  Nulls are empty."""
+    return _searched(lambda *a: _said(found_evidence(*a)), SAID, aliases)
+
+
+def evidence_by_step(aliases: dict[str, str] | None = None):
+    """STR24 as ``evidence``, but each text with the step that finds it, once a step."""
+    return _searched(lambda *a: [{"step": s, "text": t} for s, t in evidence_steps(*a)], FOUND, aliases)
 
 
 def _apart(clause: Column, said: Column) -> tuple[Column, Column, Column]:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clauses
-from ..functions.rows import spread
-from ..operators import compiler, visible
+from ..functions.rows import kept, spread
+from ..operators import compiler, products, visible
 from .catalog import query, read
 
 COLOURS = ("红色", "黑色", "蓝色", "白色", "灰色")
@@ -40,14 +41,36 @@ def request_clauses(spark, sf_dir):
     return said.select("p_partkey", F.posexplode("s").alias("i", "s")).select("p_partkey", (F.col("i") + 1).cast("long").alias("i"), F.col("s.text").alias("clause"))
 
 
+#: Other words for types of parts; one letter is too short to count.
+TYPE_ALIASES = products.flat_aliases({"new": ["promo", "New Arrival"], "small": ["economy", "mini"], "standard": ["old", "Ｒｅｄ"], "large": ["big"], "medium": ["M"]})
+
+
+def parts_with_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, with the type of the next part by (size, key) as ``beside``: nulls first, after the last the first.  Ranges
+    of that order are walked each for itself; the last part of a range takes the first of the next one."""
+    order = ("p_size", "p_partkey", "p_type", "p_brand", "p_name")
+    parts, n = read(spark, sf_dir, "part").select(*order), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(parts.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranged")
+    here = rows.withColumn("after", F.lead(F.struct("p_type")).over(W.partitionBy("range").orderBy(*order)))
+    # one row a range: the type that each begins with, and the one that the next begins with
+    firsts = rows.groupBy("range").agg(F.min(F.struct(*order)).alias("first"))
+    turn = W.orderBy("range")
+    nexts = firsts.select("range", F.coalesce(F.lead("first").over(turn), F.first("first").over(turn))["p_type"].alias("next"))
+    beside = F.when(F.col("after").isNotNull(), F.col("after.p_type")).otherwise(F.col("next"))
+    return spread(here.join(F.broadcast(nexts), "range").withColumn("beside", beside), "p_partkey")
+
+
 @query()
 def evidence_spans(spark, sf_dir):
     """STR24: what each part's name holds of its own type and brand and of the type of its neighbour by size, whole,
-    in parts or aligned; a test holds it against a plain aligner."""
-    rows = spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_name", F.array("p_type", "p_brand", F.concat(F.substring("p_name", 3, 9), F.lit("x")), F.reverse("p_name")).alias("wanted"))
-    found = rows.select("p_partkey", "p_name", "wanted", clauses.evidence()("p_name", "wanted").alias("f"))
+    in parts, by an alias or aligned; a test holds it against a plain aligner.  ``evidence`` is what all steps find,
+    ``spans`` is that without what only an alias finds."""
+    values = F.array("p_type", "p_brand", F.concat(F.substring("p_name", 3, 9), F.lit("x")), F.reverse("p_name"), "beside")
+    rows = parts_with_neighbours(spark, sf_dir).select("p_partkey", "p_name", values.alias("wanted"))
+    found = rows.select("p_partkey", "p_name", "wanted", clauses.evidence_by_step(TYPE_ALIASES)("p_name", "wanted").alias("f"))
     pairs = found.select("p_partkey", "p_name", F.posexplode(F.arrays_zip("wanted", "f")).alias("i", "x"))
-    return pairs.select("p_partkey", "p_name", "i", F.col("x.wanted").alias("value"), F.transform("x.f", lambda s: s["text"]).alias("spans"))
+    texts = lambda steps: F.array_distinct(F.transform(steps, lambda s: s["text"]))
+    return pairs.select("p_partkey", "p_name", "i", F.col("x.wanted").alias("value"), texts(F.filter("x.f", lambda s: s["step"] != "alias")).alias("spans"), texts(F.col("x.f")).alias("evidence"))
 
 
 _CONTRACT = f"""
